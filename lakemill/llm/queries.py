@@ -45,6 +45,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakemill.llm.suffixes import without_repeats
+
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakemill.llm.packing import packed
 
@@ -71,6 +77,6 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    x.__name__: x for x in (op1_token_files, op2_html_text, op3_quality_rules, op4_mixing, op6_packing, op7_top_k, op8_url_filter, op10_near_duplicates)
+    x.__name__: x for x in (op1_token_files, op2_html_text, op3_quality_rules, op4_mixing, op5_repeats, op6_packing, op7_top_k, op8_url_filter, op10_near_duplicates)
 }
 ORACLES: dict[str, str] = {}
