@@ -35,6 +35,14 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...], share: float, c
     return known.withColumn("target", target).select("source", "source_size", "target")
 
 
+def random_rank(id_: Column, text: Column, seed: str, emphasis: Column | None = None) -> Column:
+    """A document's random odds over its emphasis, as a number in (0, 1); a hash of seed, id and text."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), id_.cast("string"), text).cast("binary"))
+    uniform = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    odds = uniform / (1 - uniform) / (F.lit(1.0) if emphasis is None else emphasis.cast("double"))
+    return odds / (1 + odds)
+
+
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: str = "mix",
     emphasis: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -50,11 +58,8 @@ def mix(
     null source is one of its own. An empty table gives no rows.
     """
     text = F.col(text_col).cast("string")
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"), text).cast("binary"))
-    uniform = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    odds = uniform / (1 - uniform) / (F.lit(1.0) if emphasis is None else emphasis.cast("double"))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), (odds / (1 + odds)).alias("rank"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), random_rank(F.col(id_col), text, seed, emphasis).alias("rank"))
     sized = staged(sized.withColumn("fine", F.floor(F.col("rank") * RANGES * RANGES).cast("long")), "mix-sizes")
     ratio = F.col("target") / F.col("source_size")
     whole = F.when(F.col("source_size") > 0, F.floor(ratio)).otherwise(0).cast("long")

@@ -70,13 +70,19 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakemill.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lakemill.llm.neardup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2).drop("node")
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2).drop("node", "text_hash")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    x.__name__: x for x in (op1_token_files, op2_html_text, op3_quality_rules, op4_mixing, op5_repeats, op6_packing, op7_top_k, op8_url_filter, op10_near_duplicates)
+    x.__name__: x for x in (op1_token_files, op2_html_text, op3_quality_rules, op4_mixing, op5_repeats, op6_packing, op7_top_k, op8_url_filter, op9_licenses, op10_near_duplicates)
 }
 ORACLES: dict[str, str] = {}
