@@ -54,11 +54,17 @@ def _least(hashes: Column, j: int) -> Column:
     return F.array_min(F.transform(hashes, lambda x: x.bitwiseXOR(F.lit(_MASKS[j]))))
 
 
-def band_keys(own: Column, window: int, stride: int, kind: int) -> Column:
-    """Keys of all bands of all windows; the last window ends with the text, so no word is outside of all."""
+def band_keys(own: Column, window: int, stride: int, kind: int, near: Column | None = None) -> Column:
+    """Keys of all bands of all windows; the last window ends with the text, so no word is outside of all.
+
+    With ``near``, windows that hold none of these shingles are passed over. If ``near`` has all of the text's shingles
+    that templates have, this loses no collision: equal MinHashes mean that both windows hold the shingle of least hash.
+    """
     width = window - SHINGLE + 1
     last = F.greatest(F.size(own) - width, F.lit(0)) + 1
     starts = F.array_distinct(F.concat(F.sequence(F.lit(1), last, F.lit(stride)), F.array(last)))
+    if near is not None:
+        starts = F.filter(starts, lambda i: F.arrays_overlap(F.slice(own, i, width), near))
 
     def keys(i: Column) -> Column:
         return let(F.slice(own, i, width), lambda w: F.array(*(
@@ -66,7 +72,8 @@ def band_keys(own: Column, window: int, stride: int, kind: int) -> Column:
             for b in range(BANDS)
         )))
 
-    return F.when(F.size(own) < width, F.array().cast("array<bigint>")).otherwise(F.flatten(F.transform(starts, keys)))
+    skipped = F.size(own) < width if near is None else (F.size(own) < width) | (F.size(near) == 0)
+    return F.when(skipped, F.array().cast("array<bigint>")).otherwise(F.flatten(F.transform(starts, keys)))
 
 
 def template_bands(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
@@ -93,11 +100,12 @@ def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
     known, bands = template_bands(docs.sparkSession, templates)
     listed = bands.collect()  # bounded: templates' words times bands
     literal = F.array(*(F.lit(x) for x in sorted({x["band"] for x in listed}))).cast("array<bigint>")
+    held = F.array(*(F.lit(x[0]) for x in known.select(F.explode("wanted").alias("x")).distinct().orderBy("x").collect())).cast("array<bigint>")
     rows = docs.select(F.col(id_col).alias("doc_id"), shingles(F.col(text_col).cast("string")).alias("own"))
-    hits = let(F.col("own"), lambda own: F.struct(
-        F.array_intersect(F.concat(*(band_keys(own, w, s, kind) for kind, (w, s, _) in enumerate(WINDOWS))), literal).alias("bands"),
+    hits = let(F.col("own"), lambda own: let(F.array_intersect(own, held), lambda near: F.struct(
+        F.array_intersect(F.concat(*(band_keys(own, w, s, kind, near) for kind, (w, s, _) in enumerate(WINDOWS))), literal).alias("bands"),
         F.array_distinct(own).alias("held"),
-    ))
+    )))
     found = staged(rows.select("doc_id", hits.alias("x")).select("doc_id", "x.bands", "x.held").filter(F.size("bands") > 0), "license-candidates")
     of_band: dict[int, list[int]] = {}
     for x in listed:
