@@ -172,9 +172,44 @@ def test_licenses(spark, docs):
     assert passages and passages <= got <= loose
 
 
-def test_html_and_urls(spark):
+def test_html_text(spark):
+    """All pages of the table have one article of headings and paragraphs: its blocks, found by splitting at their tags."""
+    import html
+
+    pages = {x[0]: x[1:] for x in duckdb.sql(f"select page_id, url, html from '{SF}/pages.parquet'").fetchall()}
+    got = rows(spark, "op2_html_text")
+    assert len(got) == len(pages)
+    for x in got:
+        url, source = pages[x["page_id"]]
+        inside = source.split("<article>", 1)[1].split("</article>", 1)[0]
+        texts = [html.unescape(re.sub(r"<[^>]*>", "", re.sub("<br>", " ", y))) for y in re.split(r"</?(?:p|h1|ul|li|div)\b[^>]*>", inside)]
+        want = "\n".join(y for y in (" ".join(y.split()) for y in texts) if y)
+        assert (x["url"], x["text"], x["n_chars"]) == (url, want, len(want)), x["page_id"]
+
+
+PAGES = [
+    (None, ""),
+    ("", ""),
+    ("<html><head><title>t</title></head><body></body></html>", ""),
+    ("no markup, a &lt;b&gt; &amp; 1 &#60; 2\n\n  end", "no markup, a <b> & 1 < 2 end"),
+    ("<nav><a href=x>Home</a></nav><article><h1>T &amp; U</h1><p>One,  two\n three.<p>Four <i>fi</i>ve.</article><footer>end</footer>", "T & U\nOne, two three.\nFour five."),
+    ("<div class='sidebar'><p>Side, side, side, side.</div><div id=content><p>Body, text, here.</p><script>x('<p>no')</script><p>More.</p></div><div class='comments'><p>I, too, think, so.</p></div>", "Body, text, here.\nMore."),
+    ("<main><p>Kept, whole.</p><form><p>Name, please: <input></p></form><aside>Advert</aside><p>End.</p></main>", "Kept, whole.\nEnd."),
+    ("<article><ul><li>a, b</li><li>c</ul><table><tr><td>d<td>e</table></article>", "a, b\nc\nd\ne"),
+    ("<article><p>" + "word, " * 60_000 + "</p></article>", ("word, " * 60_000).strip()),
+    ("<div>" * 3000 + "<p>Deep, text.</p>" + "</div>" * 3000, "Deep, text."),
+]
+
+
+@pytest.mark.parametrize("source, want", PAGES, ids=range(len(PAGES)))
+def test_html_cases(source, want):
+    from lakemill.llm.html import main_text
+
+    assert main_text(source) == want
+
+
+def test_urls(spark):
     pages = rows(spark, "op2_html_text")
-    assert all(x["n_chars"] == len(x["text"]) for x in pages)
     judged = rows(spark, "op8_url_filter")
     assert len(judged) == len(pages)
     rules = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
