@@ -181,12 +181,15 @@ def repeated_ranges(texts: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     rows = staged(anchor_rows(texts, length), "suffix-anchors")
     place = F.xxhash64("text_hash", "at")
     twice = rows.groupBy("anchor").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("anchor")
+    # tables of anchors are written first: a join right above an aggregate could not split the rows of a hot anchor
+    twice = staged(twice, "suffix-twice")
     rows = staged(rows.join(twice, "anchor", "left_semi"), "suffix-repeated")
     kinds = rows.groupBy("anchor", "around", "back", "starts").agg(F.min(F.struct("text_hash", "at")).alias("one"), F.max(F.struct("text_hash", "at")).alias("other"))
     kinds = staged(kinds.select("anchor", "around", "back", "starts", "one.text_hash", "one.at", (F.col("one") != F.col("other")).alias("shared")), "suffix-shards")
     same = rows.join(kinds.filter("shared").select("anchor", "around", "back", "starts"), ["anchor", "around", "back", "starts"], "left_semi")
     whole = same.select("text_hash", (F.col("at") - F.col("back")).cast("long").alias("first"), (F.col("at") - F.col("back") + F.col("starts") - 1).cast("long").alias("last")).distinct()
     many = kinds.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").withColumn("hot", F.col("n") > hot).select("anchor", "hot")
+    many = staged(many, "suffix-many")
     wanted = staged(kinds.join(many, "anchor").select("text_hash", "anchor", "at", "back", "starts", "shared", "hot"), "suffix-wanted")
     listed = wanted.groupBy("text_hash").agg(F.collect_list(F.struct("anchor", "at", "back", "starts", "hot")).alias("places"))
     cut = _only(texts, wanted).dropDuplicates(["text_hash"]).join(listed, "text_hash")
