@@ -17,11 +17,14 @@ from lakemill.llm.graph import components
 #: Trees of the forest and MinHashes in the order of each. With REGION of them in common in a tree, documents share a
 #: region there: two with a similarity of 0.8 do in one of the trees with a probability of 1 - (1 - 0.8 ** 4) ** 20 > 0.99997.
 TREES, DEPTH, REGION = 20, 8, 4
-#: In a region, a document is compared with so many neighbours either side in the sorted order (a region of fewer: with all), and its so many most similar become candidates.
+#: In the first pass, a document is compared in a region with so many neighbours either side in the sorted order, and its so many most similar become candidates.
 NEIGHBOURS, BEST = 32, 4
+#: In the passes between components, so many pairs of two components in a region are tested at first, and so many times more in each further pass.
+PAIRS, GROWTH = 4, 8
 #: Candidates' estimated similarity lies so far below the threshold at most: over four standard errors of the estimate.
 SLACK = 0.15
-#: Rows of a region from which it is dealt out by its whole order and every row also meets the region's first.
+#: Rows of a region from which it is dealt out: in the first pass by its whole order, where every row also meets the region's
+#: first; in the passes between components by pairs of blocks of so many rows, so that all its rows meet.
 HOT = 50_000
 K = TREES * DEPTH
 _rng = np.random.default_rng(20)
@@ -95,20 +98,28 @@ def document_signatures(docs: DataFrame, shingle: int, id_col: str, text_col: st
     return rows.mapInArrow(run, "doc_id long, n_shingles long, node binary, forest binary, bits binary, text_hash long")
 
 
-def neighbours(rows: DataFrame, least: float, hot: int) -> DataFrame:
-    """Candidate pairs a < b of nodes with the estimated similarity, from the sorted order of every tree.
-
-    A region is the documents with REGION first MinHashes in common. Regions of ``hot`` rows and more are dealt out
-    by the whole order and a salt, and their rows also meet the region's least node; there are few enough of
-    them to broadcast: ``hot`` is at least the rows of a quarter of a partition.
-    """
-    spark = rows.sparkSession
+def by_region(rows: DataFrame) -> DataFrame:
+    """A row for each tree: its order and region, the documents with REGION first MinHashes in common."""
     trees = F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.substring("forest", t * 2 * DEPTH + 1, F.lit(2 * DEPTH)).alias("order"))))
-    rows = rows.select("node", "bits", trees.alias("x")).select("node", "bits", "x.tree", "x.order").withColumn("region", F.substring("order", 1, 2 * REGION))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("x", trees).drop("forest").select("*", "x.tree", "x.order").drop("x").withColumn("region", F.substring("order", 1, 2 * REGION))
+
+
+def large_regions(rows: DataFrame, hot: int) -> DataFrame:
+    """tree, region, least row and number of blocks of the regions of more than ``hot`` rows; few enough to broadcast: ``hot`` is at least the rows of a quarter of a partition."""
+    rows = by_region(rows)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hot = max(hot, rows.count() // (4 * parts))
     large = rows.groupBy("tree", "region").agg(F.count("*").alias("n"), F.min(F.struct("node", "bits")).alias("hub")).filter(F.col("n") > hot)
-    large = staged(large.select("tree", "region", "hub", F.ceil(F.col("n") / hot).alias("salts")), "forest-hot")
+    return staged(large.select("tree", "region", "hub", F.ceil(F.col("n") / hot).alias("salts")), "forest-hot")
+
+
+def neighbours(rows: DataFrame, large: DataFrame, least: float) -> DataFrame:
+    """First candidate pairs a < b of nodes with the estimated similarity, from the sorted order of every tree.
+
+    They are meant to join most copies at little cost: only the nearest are compared. ``large`` regions are dealt out by
+    the whole order and a salt, and their rows also meet the region's least node. What this leaves out, ``between`` finds.
+    """
+    rows = by_region(rows)
     dealt = rows.join(F.broadcast(large), ["tree", "region"], "left")
     key = F.when(F.col("salts").isNull(), F.xxhash64("tree", "region")).otherwise(F.xxhash64("tree", "order", F.pmod(F.xxhash64("node"), F.col("salts"))))
     dealt = dealt.withColumn("key", key).repartition("key").sortWithinPartitions("key", "tree", "order", "node")
@@ -151,6 +162,103 @@ def neighbours(rows: DataFrame, least: float, hot: int) -> DataFrame:
     return pairs.filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similar").alias("similar"))
 
 
+def between(rows: DataFrame, large: DataFrame, least: float, most: int, only: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs a < b of nodes of different components that share a region: every two of its rows are compared.
+
+    ``rows`` has node, bits, forest and label (of the component). Of two components, the ``most`` similar pairs of a region
+    are returned, with its key; ``more`` says that there are others. ``only`` has the keys of the regions to search.
+    A large region of several components is dealt out by pairs of blocks; regions of one component are passed over.
+    """
+    rows = by_region(rows)
+    if large.isEmpty():
+        dealt = rows.withColumns({"key": F.xxhash64("tree", "region"), "side": F.lit(0).cast("byte")})
+    else:
+        mixed = rows.join(F.broadcast(large.select("tree", "region", "salts")), ["tree", "region"]).groupBy("tree", "region", "salts").agg((F.min("label") != F.max("label")).alias("mixed"))
+        dealt = rows.join(F.broadcast(staged(mixed, "forest-mixed")), ["tree", "region"], "left").filter(F.coalesce("mixed", F.lit(True)))
+        own = F.pmod(F.xxhash64("node"), F.col("salts"))
+        cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1), lambda t: F.struct(F.least(own, t).alias("lo"), F.greatest(own, t).alias("hi"), F.when(own == t, 0).when(own < t, 1).otherwise(2).cast("byte").alias("side")))
+        alone = F.array(F.struct(F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("hi"), F.lit(0).cast("byte").alias("side")))
+        dealt = dealt.withColumn("cell", F.explode(F.when(F.col("salts").isNull(), alone).otherwise(cells)))
+        dealt = dealt.withColumns({"key": F.xxhash64("tree", "region", "cell.lo", "cell.hi"), "side": F.col("cell.side")})
+    dealt = dealt.select("key", "label", "side", "node", "bits")
+    if only is not None:
+        dealt = dealt.join(only, "key", "left_semi")
+
+    def cut(i: np.ndarray, j: np.ndarray, s: np.ndarray, key: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The most similar pairs of each two components of a region, and whether these have more."""
+        x, y = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        order = np.lexsort((-s, y, x, key[i]))
+        i, j, s, x, y = i[order], j[order], s[order], x[order], y[order]
+        new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (key[i[1:]] != key[i[:-1]])]))
+        n = np.diff(np.append(new, len(i)))
+        keep = np.arange(len(i)) - np.repeat(new, n) < most
+        return i[keep], j[keep], s[keep], np.repeat(n > most, n)[keep]
+
+    def searched(key: np.ndarray, label: np.ndarray, side: np.ndarray, nodes: np.ndarray, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def region_ends() -> tuple[np.ndarray, np.ndarray]:
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            return starts, np.diff(np.append(starts, len(key)))
+
+        starts, n = region_ends()
+        at = np.flatnonzero(np.repeat(np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts), n))
+        if not len(at):
+            return
+        key, label, side, nodes, bits = key[at], label[at], side[at], nodes[at], bits[at]
+        starts, n = region_ends()
+        end, rest, o = np.repeat(starts + n, n), np.arange(len(key)), 0
+        held: list[tuple[np.ndarray, ...]] = []
+        cutoff: set[tuple[int, int, int]] = set()
+
+        def told() -> pa.RecordBatch:
+            i, j, s, more = cut(*(np.concatenate(x) for x in zip(*held, strict=True)), key, label)
+            if cutoff:  # pairs were left out before
+                more = more | np.asarray([(int(key[p]), *sorted((int(label[p]), int(label[q])))) in cutoff for p, q in zip(i, j, strict=True)], bool)
+            swap = nodes[i] > nodes[j]
+            a, b = np.where(swap, nodes[j], nodes[i]), np.where(swap, nodes[i], nodes[j])
+            raw = lambda x: pa.Array.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
+            return pa.RecordBatch.from_arrays([raw(a), raw(b), pa.array(key[i]), pa.array(more, pa.bool_())], ["a", "b", "key", "more"])
+
+        size = 0
+        while True:
+            o += 1
+            rest = rest[rest + o < end[rest]]
+            if not len(rest):
+                break
+            i = rest[(label[rest] != label[rest + o]) & ((side[rest] == 0) | (side[rest] != side[rest + o]))]
+            for lo in range(0, len(i), 1 << 18):
+                x = i[lo : lo + (1 << 18)]
+                s = estimate(bits[x], bits[x + o])
+                x, s = x[s >= least], s[s >= least]
+                if len(x):
+                    held.append((x, x + o, s))
+                    size += len(x)
+            if size > 1 << 20:
+                x, y, s, more = cut(*(np.concatenate(z) for z in zip(*held, strict=True)), key, label)
+                cutoff |= {(int(key[p]), *sorted((int(label[p]), int(label[q])))) for p, q in zip(x[more], y[more], strict=True)}
+                held, size = [(x, y, s)], len(x)
+                if size > 1 << 19:  # pairs of many components
+                    yield told()
+                    held, size = [], 0
+        if held:
+            yield told()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            if not len(b):
+                continue
+            new = (np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2)), np.frombuffer(b"".join(b.column(3).to_pylist()), "S16"), np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(len(b), -1))
+            last = int(np.searchsorted(new[0], new[0][-1]))  # its region may go on
+            if last or held and held[-1][0][-1] != new[0][0]:
+                yield from searched(*(np.concatenate(x) for x in zip(*held, tuple(x[:last] for x in new), strict=True)))
+                held = []
+            held.append(tuple(x[last:] for x in new))
+        if held:
+            yield from searched(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a binary, b binary, key long, more boolean")
+
+
 def estimate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The similarity estimated from two bits of each MinHash, which agree by chance in a quarter of the cases."""
     apart = x ^ y
@@ -182,7 +290,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     Documents with equal sets are one class at once, by a digest. Classes' candidates come from the forest and are
     confirmed on the full sets read from the texts: first each class's most similar candidate, then every candidate
-    that still joins two components. A text without words has no set and no links; its component is its own id.
+    that still joins two components. Then all documents of different components that share a region are compared, and
+    this is repeated until no two components are left with a candidate that was not tested. A text without words has no set and no links; its component is its own id.
     Null ids never become a component's id; rows of a null id get the component of their text. Repeated rows are one class.
     """
     known = staged(document_signatures(docs, shingle, id_col, text_col), "forest-signatures")
@@ -191,23 +300,45 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     rows = known.select("node", "bits", "forest", "doc_id", "text_hash")
     firsts = classes.select(F.col("node").alias("n"), F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
     single = rows.join(firsts, (F.col("node") == F.col("n")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left_semi").dropDuplicates(["node"])
-    pairs = staged(neighbours(staged(single.select("node", "bits", "forest"), "forest-rows"), percent / 100 - SLACK, hot), "forest-pairs")
+    single = staged(single.select("node", "bits", "forest"), "forest-rows")
+    large = large_regions(single, hot)
+    pairs = staged(neighbours(single, large, percent / 100 - SLACK), "forest-pairs")
     text = F.col(text_col).cast("string")
     own = docs.select(F.col(id_col).cast("long").alias("d"), text.alias("text"), F.xxhash64(text).alias("h"))
-    used = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-    used = used.withColumnRenamed("doc_id", "own_id")
-    texts = own.join(used, F.col("d").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("text_hash"))).groupBy("node").agg(F.min("text").alias("text"))
-    texts = staged(texts, "forest-texts")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        used = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+        used = used.withColumnRenamed("doc_id", "own_id")
+        texts = own.join(used, F.col("d").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("text_hash"))).groupBy("node").agg(F.min("text").alias("text"))
+        return staged(texts, "forest-texts")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """The pairs of different components."""
+        for k in ("a", "b"):
+            pairs = pairs.join(found.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left")
+        return pairs.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).drop("root_a", "root_b")
+
+    texts = texts_of(pairs)
     nearest = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("of"), F.col("b").alias("to"), "similar"), F.struct(F.col("b").alias("of"), F.col("a").alias("to"), "similar"))).alias("x")).groupBy("x.of").agg(F.max(F.struct("x.similar", "x.to")).alias("best"))
     first = nearest.select(F.least("of", "best.to").alias("a"), F.greatest("of", "best.to").alias("b")).distinct()
     links = staged(confirmed(first, texts, shingle, percent), "forest-links")
     found = components(links)
-    rest = pairs.join(first, ["a", "b"], "left_anti")
-    for k in ("a", "b"):
-        rest = rest.join(found.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left")
-    rest = rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
-    more = staged(confirmed(rest, texts, shingle, percent), "forest-links")
+    more = staged(confirmed(apart(pairs.join(first, ["a", "b"], "left_anti")), texts, shingle, percent), "forest-links")
     found = components(links.union(more))
+    tested, only, most = pairs.select("a", "b"), None, PAIRS
+    while True:
+        labelled = single.join(found, "node", "left").select("node", "bits", "forest", F.xxhash64(F.coalesce("root", "node")).alias("label"))
+        near = staged(between(labelled, large, percent / 100 - SLACK, most, only), "forest-between")
+        new = staged(near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "forest-pairs")
+        if not new.isEmpty():
+            more = staged(confirmed(new, texts_of(new), shingle, percent), "forest-links")
+            if not more.isEmpty():
+                found = components(found.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
+            tested = tested.union(new)
+        only = staged(apart(near.filter("more")).select("key").distinct(), "forest-open")
+        if only.isEmpty():
+            break
+        most *= GROWTH
     grouped = classes.select("node", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = grouped.groupBy("root").agg(F.min("least").alias("component"))
     grouped = grouped.join(named, "root").select("node", "component")
