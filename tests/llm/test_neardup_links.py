@@ -48,3 +48,23 @@ def test_weak_links_between_groups(spark):
 
 def test_weak_links_between_large_groups(spark):
     assert set(found(spark, two_groups(5000, 1)).values()) == {0}
+
+
+def test_large_regions(spark):
+    """Documents with much boilerplate in regions that are dealt out: many components, links between 0.8 and 0.9."""
+    rng = random.Random(3)
+    notice = [f"n{rng.randrange(10**9)}" for _ in range(150)]
+    texts = []
+    for _ in range(60):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(35)]
+        for k in range(5):
+            texts.append(" ".join([*notice, *own[: 35 - 7 * k], *(f"p{rng.randrange(10**9)}" for _ in range(7 * k))]))
+    texts = [t for t in texts if rng.random() < 0.7]
+    want = joined(texts, 85)
+    assert len(set(want.values())) > 20
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        assert found(spark, texts, percent=85, hot=10) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
