@@ -39,36 +39,34 @@ def repeated_words(hashes: Column) -> Column:
 
 
 def line_signals(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """One narrow row a document: the counts, a sketch of its words, and hash and words of each line that has a word."""
+    """One narrow row a document: the counts, a digest of its text, and hash and words of each line that has a word."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
     dense = F.translate("text", " \t\n\v\f\r", "")
     lines = let(F.split("text", "\n"), lambda x: F.filter(x, lambda y: y.rlike(WORD)))
     hashes = let(words(F.col("text")), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"),
         repeated_words(F.transform(w, lambda x: F.xxhash64(x))).alias("n_repeat_words"),
-        F.array_min(F.transform(F.array_distinct(w), lambda x: F.md5(x.cast("binary")))).alias("sketch"),
     ))
     own = let(lines, lambda x: F.struct(
         (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         F.transform(x, lambda y: F.xxhash64(normalised(y))).alias("lines"),
         F.transform(x, lambda y: F.regexp_count(y, F.lit(WORD))).alias("line_words"),
     ))
-    rows = rows.select("doc_id", "host", F.length(dense).cast("long").alias("word_chars"), (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"), hashes.alias("w"), own.alias("l"))
-    return rows.select("doc_id", "host", "word_chars", "n_symbols", "w.*", "l.*")
+    rows = rows.select("doc_id", "host", "digest", F.length(dense).cast("long").alias("word_chars"), (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"), hashes.alias("w"), own.alias("l"))
+    return rows.select("doc_id", "host", "digest", "word_chars", "n_symbols", "w.*", "l.*")
 
 
 def frequent_lines(signals: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
     """host and the array of its frequent lines' hashes.
 
-    Copies of a document count as one: a document stands in the counts by its sketch (the least digest of its words),
-    which near copies mostly share, so passages of a widely copied text aren't taken for boilerplate. Distinct
-    (host, line, sketch) are counted in two steps, so a line of a third of all documents meets in no single task. A host has at
-    most (lines a document) / ``share`` frequent lines.
+    Exact copies of a document count as one: a document stands in the counts by a digest of its whole text, both for the
+    line and for the host. Distinct (host, line, digest) are counted in two steps, so a line of a third of all documents
+    meets in no single task. A host has at most (lines a document) / ``share`` frequent lines.
     """
-    seen = signals.select("host", "sketch", F.explode(F.array_distinct("lines")).alias("line"))
-    seen = seen.groupBy("host", "line", "sketch").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("documents"))
-    hosts = signals.groupBy("host", "sketch").agg(F.lit(1).alias("one")).groupBy(F.col("host").alias("h")).agg(F.count("*").alias("all"))
+    seen = signals.select("host", "digest", F.explode(F.array_distinct("lines")).alias("line"))
+    seen = seen.groupBy("host", "line", "digest").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("documents"))
+    hosts = signals.groupBy("host", "digest").agg(F.lit(1).alias("one")).groupBy(F.col("host").alias("h")).agg(F.count("*").alias("all"))
     often = seen.filter(F.col("documents") > min_documents).join(hosts, F.col("host").eqNullSafe(F.col("h")))
     return often.filter(F.col("documents") > share * F.col("all")).groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("frequent"))
 
@@ -89,7 +87,7 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeats: int = 50, i
     rows = rows.withColumn("n_removed_words", lost)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeats * F.col("n_words"))
     depleted = F.col("n_words") - F.col("n_removed_words") < LEFT * F.col("n_words")
-    return rows.select("doc_id", "host", "sketch", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+    return rows.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
 
 
 def without_frequent_lines(docs: DataFrame, frequent: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
