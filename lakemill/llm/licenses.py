@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,12 +20,23 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
     ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
 )
 
+#: Phrases that tell a license from its relatives. A match must hold those of its license that its template holds, word for word.
+DECIDING = {
+    "Apache-2.0": ("apache license version 2 0", "licenses license 2 0"),
+    "GPL-3.0": ("gnu general public license", "public license version 3", "version 3 of the license"),
+    "CC-BY-4.0": ("cc by 4 0",),
+    "CC-BY-NC-4.0": ("cc by nc 4 0",),
+    "CC-BY-SA-4.0": ("cc by sa 4 0",),
+    "BSD-3-Clause": ("endorse or promote products",),
+}
+
 #: Words of a shingle: notices have as few as five words, so shingles of five would make some a single one.
 SHINGLE = 2
 #: (words of a window, words between the starts of two windows, words of a template from which this kind is used).
@@ -76,10 +88,12 @@ def band_keys(own: Column, window: int, stride: int, kind: int, near: Column | N
     return F.when(skipped, F.array().cast("array<bigint>")).otherwise(F.flatten(F.transform(starts, keys)))
 
 
-def template_bands(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
-    """(template, license, shingles) and (band, template). All offsets of a template have a window, so that one of a passage needs no alignment."""
-    rows = spark.createDataFrame([(n, name, text) for n, (name, text) in enumerate(templates)], "template int, license string, text string")
-    rows = rows.select("template", "license", F.array_distinct(shingles(F.col("text"))).alias("wanted"), shingles(F.col("text")).alias("own"))
+def template_bands(spark: SparkSession, templates: Sequence[tuple[str, str]], deciding: Mapping[str, Sequence[str]] = DECIDING) -> tuple[DataFrame, DataFrame]:
+    """(template, license, shingles, shingles of each deciding phrase) and (band, template). All offsets of a template have a window, so that one of a passage needs no alignment."""
+    plain = lambda x: " ".join(re.findall(r"[^\W_]+", x.lower()))
+    phrases = lambda name, text: [x for x in deciding.get(name, ()) if f" {plain(x)} " in f" {plain(text)} "]
+    rows = spark.createDataFrame([(n, name, text, phrases(name, text)) for n, (name, text) in enumerate(templates)], "template int, license string, text string, phrases array<string>")
+    rows = rows.select("template", "license", F.transform("phrases", shingles).alias("phrases"), F.array_distinct(shingles(F.col("text"))).alias("wanted"), shingles(F.col("text")).alias("own"))
     words = F.size("own") + SHINGLE - 1
     bands = None
     for kind, (window, _, least) in enumerate(WINDOWS):
@@ -89,22 +103,22 @@ def template_bands(spark: SparkSession, templates: Sequence[tuple[str, str]]) ->
     return rows.drop("own"), bands.distinct()
 
 
-def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = PERCENT, deciding: Mapping[str, Sequence[str]] = DECIDING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, template (its number), license, n_template, n_found and containment (n_found / n_template) of each match.
 
     A document's windows retrieve templates by equal bands; a match must then hold ``percent`` percent of the distinct
-    shingles of the template, counted exactly over the whole text. The templates are a parameter, in memory already,
+    shingles of the template, counted exactly over the whole text, and the phrases that decide its license. The templates are a parameter, in memory already,
     so their bands are a literal and their table is broadcast. One pass, no shuffle before candidates. Null or empty
     texts match nothing, null ids stay, repeated rows are each scanned, empty tables give no rows.
     """
-    known, bands = template_bands(docs.sparkSession, templates)
+    known, bands = template_bands(docs.sparkSession, templates, deciding)
     listed = bands.collect()  # bounded: templates' words times bands
     literal = F.array(*(F.lit(x) for x in sorted({x["band"] for x in listed}))).cast("array<bigint>")
     held = F.array(*(F.lit(x[0]) for x in known.select(F.explode("wanted").alias("x")).distinct().orderBy("x").collect())).cast("array<bigint>")
     rows = docs.select(F.col(id_col).alias("doc_id"), shingles(F.col(text_col).cast("string")).alias("own"))
     hits = let(F.col("own"), lambda own: let(F.array_intersect(own, held), lambda near: F.struct(
         F.array_intersect(F.concat(*(band_keys(own, w, s, kind, near) for kind, (w, s, _) in enumerate(WINDOWS))), literal).alias("bands"),
-        F.array_distinct(own).alias("held"),
+        own.alias("held"),
     )))
     found = staged(rows.select("doc_id", hits.alias("x")).select("doc_id", "x.bands", "x.held").filter(F.size("bands") > 0), "license-candidates")
     of_band: dict[int, list[int]] = {}
@@ -116,4 +130,6 @@ def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
     pairs = found.select("doc_id", "held", F.explode(reached).alias("template")).join(F.broadcast(known), "template")
     pairs = pairs.withColumn("n_found", F.size(F.array_intersect("held", "wanted")).cast("long")).withColumn("n_template", F.size("wanted").cast("long"))
     pairs = pairs.filter(100 * F.col("n_found") >= percent * F.col("n_template"))
+    whole = lambda p: F.exists(F.sequence(F.lit(1), F.greatest(F.size("held") - F.size(p) + 1, F.lit(1))), lambda i: F.slice("held", i, F.size(p)) == p)
+    pairs = pairs.filter(F.forall("phrases", whole))
     return pairs.select("doc_id", "template", "license", "n_template", "n_found", F.round(F.col("n_found") / F.col("n_template"), 6).alias("containment"))
