@@ -17,6 +17,7 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 PARAGRAPHS = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article body div main section td blockquote".split())
+LISTS = frozenset("ul ol dl table figure".split())
 #: Elements that never hold main text.
 NEVER = frozenset("nav footer aside form button select option input label menu dialog head search fieldset datalist object audio video canvas map".split()) | RAW
 #: Elements that close an open paragraph.
@@ -141,7 +142,7 @@ def _nodes(root: Node) -> Iterator[Node]:
 
 
 def best_containers(root: Node) -> list[Node]:
-    """The container of highest score and those siblings that belong to it, in page order.
+    """The article, or else main element around the container of highest score; without one, the container and those siblings that belong to it, in page order.
 
     Each paragraph has 1 point, one for each comma and one for each 100 characters, at most 3, discounted by its link
     density. All of it goes to its parent, half to the one above, a third of it to the next and so on. Sums are
@@ -159,6 +160,12 @@ def best_containers(root: Node) -> list[Node]:
     top = max((x for x in _nodes(root) if x.tag in CONTAINERS or x is root), key=lambda x: ranked[id(x)])
     if not ranked[id(top)]:
         return [root]
+    for tag in ("article", "main"):
+        up = top
+        while up is not None and up.tag != tag:
+            up = up.parent
+        if up is not None:
+            return [up]
     if top.parent is None:
         return [top]
     out = []
@@ -166,7 +173,8 @@ def best_containers(root: Node) -> list[Node]:
         if isinstance(x, Node) and x.hint >= 0:
             joined = ranked[id(x)] >= max(10.0, 0.2 * ranked[id(top)]) and x.tag in CONTAINERS
             prose = x.tag in PARAGRAPHS and (x.length > 80 and density(x) < 0.25 or 0 < x.length <= 80 and not x.linked and x.commas + (x.tag in HEADINGS) > 0)
-            if x is top or joined or prose:
+            listed = x.tag in LISTS and x.length and density(x) < 0.25
+            if x is top or joined or prose or listed:
                 out.append(x)
     return out
 
@@ -194,8 +202,6 @@ def blocks(node: Node) -> list[str]:
         elif x.tag == "br":
             parts.append(" ")
         elif x.tag in BLOCKS:
-            if x.tag in ("div", "section", "ul", "ol", "table", "p") and x.length and x.linked > 0.7 * x.length and x is not node:
-                continue  # a list of links
             end()
             stack.append(None)
             stack.extend(reversed(x.children))
