@@ -52,3 +52,13 @@ def test_verdicts(spark):
     assert {want[10**6 + i][1] for i in range(60)} == {False} and {want[2 * 10**6 + i][1] for i in range(60)} == {True}
     table = spark.createDataFrame(docs, "doc_id long, text string, source string")
     assert {x["doc_id"]: (x["n_removed_words"], x["kept"]) for x in quality_rules(table).collect()} == want
+
+
+def test_without_frequent_lines(spark):
+    from lakemill.llm.quality import without_frequent_lines, line_signals, frequent_lines
+
+    docs = [(i, f"Own line {chr(97 + i % 26)}{chr(97 + i // 26)}\nPage {i} of the notice", "a") for i in range(40)] + [(99, "Page 1 of the notice", "b"), (100, None, "a")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    often = frequent_lines(line_signals(table, "doc_id", "text", "source"))
+    got = {x["doc_id"]: x["text"] for x in without_frequent_lines(table, often).collect()}
+    assert got == {i: t.split("\n")[0] if t and s == "a" else t for i, t, s in docs}
