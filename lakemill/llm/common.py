@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -27,9 +28,51 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+#: Open scopes of ``dropped``: the paths made in each.
+_scopes: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder. What is written there stays until the folder is cleaned: lazy results read it."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the shared folder. Outside of ``dropped`` it stays until the folder is cleaned, as lazy results read it."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_paths():
+    """A scope that lists the scratch tables made in it, for a caller who knows when they are read no more."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes.pop()
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextlib.contextmanager
+def dropped(spark: SparkSession):
+    """A scope whose scratch tables are deleted at its end; what the given function stages outlives it."""
+    _scopes.append([])
+    try:
+        yield lambda df, label: _outside(df, label)
+    finally:
+        for path in _scopes.pop():
+            delete(spark, path)
+
+
+def _outside(df: DataFrame, label: str) -> DataFrame:
+    own = _scopes.pop()
+    try:
+        return staged(df, label)
+    finally:
+        _scopes.append(own)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -47,3 +90,15 @@ def words(text: Column) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, whatever the optimizer inlines."""
     return F.transform(F.array(value), body)[0]
+
+
+def tidy(run):
+    """``run`` for ``mapInArrow``; what it took is given back at its end, as workers live on beside the next stage's heap."""
+
+    def wrapped(batches):
+        import pyarrow as pa
+
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped

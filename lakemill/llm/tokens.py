@@ -1,9 +1,10 @@
 """Token ids in flat binary files with 64-bit document offsets (operator 1).
 
-Layout of a folder: ``ids-NNNNN.bin`` has the token ids of one range of documents, little-endian unsigned
-integers of ``dtype`` (16 bits if the vocabulary fits, else 32); ``docs-NNNNN.bin`` its document ids (int64);
-``offsets-NNNNN.bin`` one int64 more than it has documents: where each document starts among the ids of *all*
-shards. Shards follow each other in ascending document id order. ``manifest.json`` names them with their bases.
+Layout of a folder: ``ids-X.bin`` has the token ids of one range of documents (a shard), little-endian unsigned
+integers of ``dtype`` (16 bits if the vocabulary fits, else 32); ``docs-X.bin`` its document ids (int64);
+``offsets-X.bin`` one int64 more than it has documents: where each document starts among the ids of *all* shards.
+Shards follow each other in ascending document id order. ``manifest.json`` names their files with their bases. X tells
+the shard and the attempt that wrote it, so nothing is renamed or overwritten: files of attempts that failed are not named.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import json
 import mmap
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,9 +30,11 @@ from lakemill.llm.common import scratch
 #: Stored for a null document id.
 NULL_ID = -(2**63)
 #: Entries of one generation of the chunk cache; two generations are held.
-CACHE = 200_000
-#: Bytes of text that are encoded at once.
-SLICE = 32 << 20
+CACHE = 100_000
+#: Bytes of text whose distinct chunks are looked up at once.
+SLICE = 16 << 20
+#: Chunks that are encoded at once, and chunks of whole texts that are turned into ids at once.
+PIECE, GATHER = 4096, 1 << 19
 
 #: Letters that NFC and lower-casing leave as they are.
 PLAIN = re.compile("[a-zß-öø-ÿ]+").fullmatch
@@ -66,12 +70,18 @@ class ChunkEncoder:
         self.stops = {x: self._whole([x])[0] for x in ("", ",", ".")}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, self.dtype).tobytes() for x in found]
+        return self._run(self.tokenizer, texts)
 
     def _plain(self, letters: list[str]) -> list[bytes]:
-        found = self.bare.encode_batch_fast(letters, add_special_tokens=False)
-        return [np.asarray(x.ids, self.dtype).tobytes() for x in found]
+        return self._run(self.bare, letters)
+
+    def _run(self, tokenizer, texts: list[str]) -> list[bytes]:
+        got, kind = [], "H" if self.dtype.itemsize == 2 else "I"
+        for lo in range(0, len(texts), PIECE):  # an encoding takes far more memory than its ids
+            for x in tokenizer.encode_batch_fast(texts[lo : lo + PIECE], add_special_tokens=False):
+                ids = x.ids
+                got.append(struct.pack(f"<{len(ids)}{kind}", *ids))
+        return got
 
     def encode(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For slices of the texts: all their ids, ``end_id`` behind each text, and where each text ends among them."""
@@ -79,28 +89,37 @@ class ChunkEncoder:
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         while lo < len(texts):
             hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SLICE, "right")))
-            yield self._slice(pa.concat_arrays([texts.slice(lo, hi - lo)]), end_id)  # kernels misread some slices; a copy is safe
+            yield from self._slice(pa.concat_arrays([texts.slice(lo, hi - lo)]), end_id)  # kernels misread some slices; a copy is safe
+            pa.default_memory_pool().release_unused()
             lo = hi
 
-    def _slice(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def _slice(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if self.chunked:
             if self.lowers and not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are matched before letters are lowered
                 texts = pc.ascii_lower(texts)
             split = pc.ascii_split_whitespace(texts)
             coded, borders = split.flatten().dictionary_encode(), np.asarray(split.offsets) - split.offsets[0].as_py()
-            order, chunks = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-            ids = self._known(chunks)
+            del split
+            order, ids = coded.indices.to_numpy(zero_copy_only=False), self._known(coded.dictionary.to_pylist())
         else:
             order, borders = np.arange(len(texts)), np.arange(len(texts) + 1)
             ids = self._whole(texts.to_pylist())
+        n = len(texts)
+        del texts
         lengths = np.asarray([len(x) for x in ids] + [self.dtype.itemsize]) // self.dtype.itemsize
+        starts = np.cumsum(lengths) - lengths
         flat = np.concatenate([np.frombuffer(b"".join(ids), self.dtype), np.asarray([end_id], self.dtype)])
-        order = np.insert(order, borders[1:], len(ids))  # the end id is one chunk more
-        own = lengths[order]
-        ends = np.cumsum(own)
-        at = np.repeat((np.cumsum(lengths) - lengths)[order] - (ends - own), own)
-        at += np.arange(len(at))
-        return flat[at], ends[borders[1:] + np.arange(len(texts))]
+        del ids
+        lo = 0
+        while lo < n:
+            hi = max(lo + 1, int(np.searchsorted(borders, borders[lo] + GATHER, "right")) - 1)
+            some = np.insert(order[borders[lo] : borders[hi]], borders[lo + 1 : hi + 1] - borders[lo], len(lengths) - 1)  # the end id is one chunk more
+            own = lengths[some]
+            ends = np.cumsum(own)
+            at = np.repeat(starts[some] - (ends - own), own)
+            at += np.arange(len(at))
+            yield flat[at], ends[borders[lo + 1 : hi + 1] - borders[lo] + np.arange(hi - lo)]
+            lo = hi
 
     def _known(self, chunks: list[str]) -> list[bytes]:
         if len(self.young) > CACHE:
@@ -150,13 +169,15 @@ def _open(uri: str) -> tuple[fs.FileSystem, str]:
 
 
 def _put(where: fs.FileSystem, path: str, parts) -> None:
-    """Writes under a name of this attempt and renames, so a file is whole or absent however tasks end."""
-    context = TaskContext.get()
-    own = f"{path}.{context.taskAttemptId() if context else 'driver'}"
-    with where.open_output_stream(own) as out:
+    with where.open_output_stream(path) as out:
         for x in parts:
             out.write(x)
-    where.move(own, path)
+
+
+def _tag(shard: int) -> str:
+    """A name for a shard's files that no other attempt has."""
+    context = TaskContext.get()
+    return f"{shard:05d}-{context.stageId()}-{context.taskAttemptId()}"
 
 
 def _mapped(where: fs.FileSystem, path: str, dtype) -> np.ndarray:
@@ -175,7 +196,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
 
     A document's ids are those of its whole text and ``end_id``; a null text is empty. Null ids come first; rows of
     one id follow each other in order of their texts' hashes (ranges also split by it, so a hot id takes many
-    shards), repeated rows stay. Only counts a shard reach the driver; their prefix sums are the shards' bases.
+    shards), repeated rows stay, further columns don't matter, an empty table gives an empty manifest. Very long texts
+    are encoded whole, each as a slice of its own. Only counts a shard reach the driver; their prefix sums are the
+    shards' bases, from which a second step writes the offsets.
     """
     where, path = _open(folder)
     where.create_dir(path, recursive=True)
@@ -185,6 +208,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = _open(folder)
         enc, shard, ids, lengths = encoder(tokenizer), TaskContext.get().partitionId(), [], []
+        tag = _tag(shard)
 
         def parts():
             for b in batches:
@@ -193,28 +217,36 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
                     lengths.append(np.diff(ends, prepend=0))
                     yield flat.tobytes()
 
-        _put(where, f"{path}/ids-{shard:05d}.bin", parts())
-        _put(where, f"{path}/docs-{shard:05d}.bin", [np.concatenate(ids or [np.empty(0)]).astype("<i8").tobytes()])
-        _put(where, f"{path}/lengths-{shard:05d}.bin", [(n := np.concatenate(lengths or [np.empty(0)]).astype("<i8")).tobytes()])
-        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(n)], pa.int64()), pa.array([n.sum()], pa.int64())], ["shard", "n_docs", "n_tokens"])
+        _put(where, f"{path}/ids-{tag}.bin", parts())
+        _put(where, f"{path}/docs-{tag}.bin", [np.concatenate(ids or [np.empty(0)]).astype("<i8").tobytes()])
+        _put(where, f"{path}/lengths-{tag}.bin", [(n := np.concatenate(lengths or [np.empty(0)]).astype("<i8")).tobytes()])
+        yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([tag]), pa.array([len(n)], pa.int64()), pa.array([n.sum()], pa.int64())], ["shard", "tag", "n_docs", "n_tokens"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Turns a shard's lengths into global offsets."""
+        where, path = _open(folder)
+        for b in batches:
+            for shard, tag, base in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                own = _tag(shard)
+                lengths = _mapped(where, f"{path}/lengths-{tag}.bin", "<i8")
+                _put(where, f"{path}/offsets-{own}.bin", [(base + np.concatenate([[0], np.cumsum(lengths)])).astype("<i8").tobytes()])
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([own])], ["shard", "tag"])
 
     ranged = rows.repartitionByRange("id", "mixed").sortWithinPartitions("id", "mixed", "text").select("id", "text")
-    counts = sorted(map(tuple, ranged.mapInArrow(encode, "shard int, n_docs long, n_tokens long").collect()))
+    counts = sorted(map(tuple, ranged.mapInArrow(encode, "shard int, tag string, n_docs long, n_tokens long").collect()))
     shards, base = [], 0
-    for shard, n_docs, n_tokens in counts:
-        shards.append({"shard": shard, "n_docs": n_docs, "n_tokens": n_tokens, "base": base})
+    for shard, tag, n_docs, n_tokens in counts:
+        shards.append({"shard": shard, "tag": tag, "n_docs": n_docs, "n_tokens": n_tokens, "base": base})
         base += n_tokens
-    manifest = {"dtype": encoder(tokenizer).dtype.str, "n_tokens": base, "shards": shards}
+    listed = docs.sparkSession.createDataFrame([(x["shard"], x["tag"], x["base"]) for x in shards], "shard int, tag string, base long").repartition(max(1, len(shards)), "shard")
+    offsets = dict(map(tuple, listed.mapInArrow(place, "shard int, tag string").collect()))
+    manifest = {"dtype": encoder(tokenizer).dtype.str, "n_tokens": base, "shards": [{**x, "offsets": offsets[x["shard"]]} for x in shards]}
     _put(where, f"{path}/manifest.json", [json.dumps(manifest).encode()])
     return manifest
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files.
-
-    A task takes a shard: it turns lengths into global 64-bit offsets from the shard's base (once; the file stays),
-    then maps ids and offsets. Empty folder: no rows.
-    """
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files: a task maps the ids and offsets of a shard. Empty folder: no rows."""
     where, path = _open(folder)
     with where.open_input_file(f"{path}/manifest.json") as f:
         manifest = json.loads(f.read())
@@ -222,11 +254,9 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, path = _open(folder)
-        for shard, base in (x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-            lengths = _mapped(where, f"{path}/lengths-{shard:05d}.bin", "<i8")
-            _put(where, f"{path}/offsets-{shard:05d}.bin", [(base + np.concatenate([[0], np.cumsum(lengths)])).astype("<i8").tobytes()])
-            offsets, doc_ids = _mapped(where, f"{path}/offsets-{shard:05d}.bin", "<i8"), _mapped(where, f"{path}/docs-{shard:05d}.bin", "<i8")
-            ids = _mapped(where, f"{path}/ids-{shard:05d}.bin", dtype)
+        for tag, place, base in (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            offsets, doc_ids = _mapped(where, f"{path}/offsets-{place}.bin", "<i8"), _mapped(where, f"{path}/docs-{tag}.bin", "<i8")
+            ids = _mapped(where, f"{path}/ids-{tag}.bin", dtype)
             for lo in range(0, len(doc_ids), 8192):
                 own = doc_ids[lo : lo + 8192]
                 at = offsets[lo : lo + len(own) + 1]
@@ -237,8 +267,8 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                     pa.array([crc32_u32(ids[a - base : b - base]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64()),
                 ], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    shards = [(x["shard"], x["base"]) for x in manifest["shards"] if x["n_docs"]]
-    listed = spark.createDataFrame(shards, "shard int, base long").repartition(max(1, len(shards)))
+    shards = [(x["tag"], x["offsets"], x["base"]) for x in manifest["shards"] if x["n_docs"]]
+    listed = spark.createDataFrame(shards, "tag string, place string, base long").repartition(max(1, len(shards)))
     return listed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
