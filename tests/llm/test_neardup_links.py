@@ -65,6 +65,42 @@ def test_large_regions(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "64")
     try:
-        assert found(spark, texts, percent=85, hot=10) == want
+        assert found(spark, texts, percent=85, hot=40, leaf=1 << 20) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_crowded_regions(spark):
+    """Families among documents that share half of their words, in regions that are split to full depth: recall of links."""
+    rng = random.Random(4)
+    notice = [f"n{rng.randrange(10**9)}" for _ in range(100)]
+    texts = []
+    for _ in range(400):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(90)]
+        texts.append(" ".join([*notice, *own]))
+        texts.append(" ".join([*notice, *own[:70], *(f"p{rng.randrange(10**9)}" for _ in range(20))]))
+    want = joined(texts)
+    assert len(set(want.values())) == 400
+    for options in ({"leaf": 8}, {"leaf": 8, "hot": 16}):
+        got = found(spark, texts, **options)
+        assert all(got[i] in (want[i], i) for i in got)  # no false link
+        assert sum(got[i] == want[i] for i in range(1, 800, 2)) >= 0.97 * 400
+
+
+def test_spanning():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n in (2, 5, 60, 300):
+        i, j = rng.integers(0, n, 4 * n), rng.integers(0, n, 4 * n)
+        i, j = i[i != j], j[i != j]
+        at = neardup.spanning(i, j, rng.integers(0, 5, len(i)).astype(np.float32), n)
+
+        def parts(edges):
+            label = np.arange(n)
+            for _ in range(n):
+                for x, y in edges:
+                    label[label == max(label[x], label[y])] = min(label[x], label[y])
+            return label.tolist()
+
+        assert parts(list(zip(i[at].tolist(), j[at].tolist()))) == parts(list(zip(i.tolist(), j.tolist()))) if n < 100 else len(at) < n
