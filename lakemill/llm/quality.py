@@ -38,10 +38,12 @@ def repeated_words(hashes: Column) -> Column:
     return let(hashes, windows).cast("long")
 
 
-def line_signals(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """One narrow row a document: the counts, a digest of its text, and hash and words of each line that has a word."""
+def line_signals(docs: DataFrame, id_col: str, text_col: str, host_col: str, whole: bool = False) -> DataFrame:
+    """A row for each document: the counts, a digest of its text, hash and words of each line that has a word; narrow, or with the ``whole`` row as a struct."""
+    carried = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if whole else []
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), *carried)
+    carried = ["row"] if whole else []
     dense = F.translate("text", " \t\n\v\f\r", "")
     lines = let(F.split("text", "\n"), lambda x: F.filter(x, lambda y: y.rlike(WORD)))
     hashes = let(words(F.col("text")), lambda w: F.struct(
@@ -53,8 +55,8 @@ def line_signals(docs: DataFrame, id_col: str, text_col: str, host_col: str) ->
         F.transform(x, lambda y: F.xxhash64(normalised(y))).alias("lines"),
         F.transform(x, lambda y: F.regexp_count(y, F.lit(WORD))).alias("line_words"),
     ))
-    rows = rows.select("doc_id", "host", "digest", F.length(dense).cast("long").alias("word_chars"), (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"), hashes.alias("w"), own.alias("l"))
-    return rows.select("doc_id", "host", "digest", "word_chars", "n_symbols", "w.*", "l.*")
+    rows = rows.select("doc_id", "host", "digest", F.length(dense).cast("long").alias("word_chars"), (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"), hashes.alias("w"), own.alias("l"), *carried)
+    return rows.select("doc_id", "host", "digest", "word_chars", "n_symbols", "w.*", "l.*", *carried)
 
 
 def frequent_lines(signals: DataFrame, min_documents: int = MIN_DOCUMENTS, share: float = SHARE) -> DataFrame:
@@ -71,15 +73,15 @@ def frequent_lines(signals: DataFrame, min_documents: int = MIN_DOCUMENTS, share
     return often.filter(F.col("documents") > share * F.col("all")).groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("frequent"))
 
 
-def quality_rules(docs: DataFrame, min_words: int = 50, max_repeats: int = 50, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", signals: DataFrame | None = None, frequent: DataFrame | None = None) -> DataFrame:
-    """Counts, base_failed, n_removed_words and kept of every document.
+def quality_rules(docs: DataFrame, min_words: int = 50, max_repeats: int = 50, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", signals: DataFrame | None = None, frequent: DataFrame | None = None, whole: bool = False) -> DataFrame:
+    """Counts, base_failed, n_removed_words and kept of every document, and its ``whole`` row as a struct if asked for.
 
     A document fails the base rules with fewer than ``min_words`` words or more than ``max_repeats`` percent of them
     in repeated 3-word windows. Else it is kept unless its host's frequent lines leave it depleted. Nulls: a null
-    text has no words, a null host is one of its own, a null id stays. Repeated rows are judged alike. Word windows
-    and lines are compared by 64-bit hashes.
+    text has no words, a null host is one of its own, a null id stays. Repeated rows are judged alike, very long texts
+    whole, further columns don't matter, an empty table gives no rows. Word windows and lines are compared by 64-bit hashes.
     """
-    signals = staged(line_signals(docs, id_col, text_col, host_col), "quality-signals") if signals is None else signals
+    signals = staged(line_signals(docs, id_col, text_col, host_col, whole), "quality-signals") if signals is None else signals
     frequent = staged(frequent_lines(signals), "quality-lines") if frequent is None else frequent
     rows = signals.join(frequent.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")), "left")
     hits = F.coalesce(F.array_intersect("lines", "frequent"), F.array().cast("array<bigint>"))
@@ -87,7 +89,7 @@ def quality_rules(docs: DataFrame, min_words: int = 50, max_repeats: int = 50, i
     rows = rows.withColumn("n_removed_words", lost)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeats * F.col("n_words"))
     depleted = F.col("n_words") - F.col("n_removed_words") < LEFT * F.col("n_words")
-    return rows.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"))
+    return rows.select("doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_removed_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), *(["row"] if whole else []))
 
 
 def without_frequent_lines(docs: DataFrame, frequent: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
