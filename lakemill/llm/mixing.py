@@ -10,6 +10,8 @@ from lakemill.llm.common import WORD, staged
 
 #: Each of two passes narrows a source's cut to one of so many ranges of the random rank.
 RANGES = 512
+#: Levels of emphasis above and below 1, in eighths of an octave.
+LEVELS = 512
 
 
 def source_targets(sized: DataFrame, weights: tuple[float, ...], share: float, ceiling: float) -> DataFrame:
@@ -35,38 +37,62 @@ def source_targets(sized: DataFrame, weights: tuple[float, ...], share: float, c
     return known.withColumn("target", target).select("source", "source_size", "target")
 
 
-def random_rank(id_: Column, text: Column, seed: str, emphasis: Column | None = None) -> Column:
-    """A document's random odds over its emphasis, as a number in (0, 1); a hash of seed, id and text."""
+def uniform(id_: Column, text: Column, seed: str) -> Column:
+    """A number in (0, 1): a hash of seed, id and text."""
     digest = F.md5(F.concat_ws(":", F.lit(seed), id_.cast("string"), text).cast("binary"))
-    uniform = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    odds = uniform / (1 - uniform) / (F.lit(1.0) if emphasis is None else emphasis.cast("double"))
-    return odds / (1 + odds)
+    return (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
 
 
-def mix(
-    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: str = "mix",
-    emphasis: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken of every document.
+def pareto_rank(u: Column, inclusion: Column) -> Column:
+    """The odds of ``u`` over those of ``inclusion``, as a number x / (1 + x): 0 where inclusion is certain, 1 where it is out."""
+    return u * (1 - inclusion) / (u * (1 - inclusion) + (1 - u) * inclusion)
 
-    A document of a source with r = target / source_size gets floor(r) certain copies. The rest of the target is a
-    Pareto order sample: documents are ranked by their random odds over their inclusion odds (``emphasis``, 1 if not
-    given, times the odds of r's fraction, which are the source's own and don't change its ranks) and taken in that
-    order until the source's words are full; the one at the border is taken if that comes nearer. The cut is found
-    from sums over ranges of the rank, so no source meets in one task. Random numbers are a hash of seed, id and
-    text: reruns agree, rows repeated in full share one rank and are taken together. A null text has size 0 and a
-    null source is one of its own. An empty table gives no rows.
-    """
+
+def sized_rows(docs: DataFrame, seed: str, emphasis: Column | None, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """row (the document), doc_id, source, size, u and level: its emphasis in eighths of an octave, null if it has none."""
     text = F.col(text_col).cast("string")
     size = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), random_rank(F.col(id_col), text, seed, emphasis).alias("rank"))
-    sized = staged(sized.withColumn("fine", F.floor(F.col("rank") * RANGES * RANGES).cast("long")), "mix-sizes")
-    ratio = F.col("target") / F.col("source_size")
-    whole = F.when(F.col("source_size") > 0, F.floor(ratio)).otherwise(0).cast("long")
-    targets = staged(source_targets(sized, weights, share, ceiling).withColumn("whole", whole).withColumn("quota", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), uniform(F.col(id_col), text, seed).alias("u"), (F.lit(None).cast("double") if emphasis is None else emphasis.cast("double")).alias("e"))
+    own = F.log2(2.0 + F.col("size")) if emphasis is None else F.col("e")
+    level = F.when(own > 0, F.least(F.greatest(F.round(8 * F.log2(own)), F.lit(-LEVELS)), F.lit(LEVELS)).cast("int"))
+    return rows.withColumn("level", level).drop("e")
+
+
+def inclusion_scales(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """source and scale: documents are included with probability min(1, scale * emphasis), whose words add up to the source's quota."""
+    sums = sized.filter("level is not null").groupBy("source", "level").agg(F.sum("size").alias("words"))
+    sums = _by_source(sums, targets.select("source", "quota")).withColumn("e", F.pow(F.lit(2.0), F.col("level") / 8))
+    below = W.partitionBy("source").orderBy(F.desc("level"))
+    before = below.rowsBetween(W.unboundedPreceding, -1)
+    rest = below.rowsBetween(W.currentRow, W.unboundedFollowing)
+    scale = (F.col("quota") - F.coalesce(F.sum("words").over(before), F.lit(0))) / F.sum(F.col("e") * F.col("words")).over(rest)
+    sums = sums.withColumn("scale", F.when(F.sum(F.col("e") * F.col("words")).over(rest) > 0, scale))
+    return sums.filter(F.col("scale") * F.col("e") <= 1).groupBy("source").agg(F.max("scale").alias("scale"))
+
+
+def _place() -> Column:
+    """A document's place in its source: by rank, then id (null first) and size."""
+    return F.struct("rank", F.col("doc_id").isNotNull().alias("known"), "doc_id", "size")
+
+
+def _by_source(rows: DataFrame, known: DataFrame, how: str = "inner") -> DataFrame:
+    return rows.join(known.withColumnRenamed("source", "of_source"), F.col("source").eqNullSafe(F.col("of_source")), how).drop("of_source")
+
+
+def ranked(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds the columns of ``known`` (by source), the rank and its fine range."""
+    rows = _by_source(rows, known)
+    inclusion = F.when(F.col("level").isNull(), 0.0).otherwise(F.least(F.lit(1.0), F.coalesce("scale", F.lit(1.0)) * F.pow(F.lit(2.0), F.col("level") / 8)))
+    rows = rows.withColumn("rank", pareto_rank(F.col("u"), inclusion))
+    return rows.withColumn("fine", F.least(F.floor(F.col("rank") * RANGES * RANGES), F.lit(RANGES * RANGES - 1)).cast("long"))
+
 
-    def with_cut(rows: DataFrame, cut: DataFrame) -> DataFrame:
-        return rows.join(cut.withColumnRenamed("source", "cut_source"), F.col("source").eqNullSafe(F.col("cut_source"))).drop("cut_source")
+def source_plan(sized: DataFrame, weights: tuple[float, ...], share: float, ceiling: float) -> DataFrame:
+    """For each source its size, target, certain copies, quota, scale, and the place in the rank at which the quota is full."""
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    targets = source_targets(sized, weights, share, ceiling).withColumn("whole", whole).withColumn("quota", F.col("target") - F.col("whole") * F.col("source_size"))
+    targets = staged(targets, "mix-targets")
+    targets = staged(_by_source(targets, inclusion_scales(sized, targets), "left"), "mix-scales")
 
     def crossing(sums: DataFrame, key: str) -> DataFrame:
         """The range of each source in which its words pass the quota, and the words before it."""
@@ -74,26 +100,56 @@ def mix(
         cum = sums.withColumn("before", F.col("before") + reached - F.col("words"))
         return cum.filter((F.col("before") <= F.col("quota")) & (F.col("before") + F.col("words") > F.col("quota")))
 
+    rows = ranked(sized, targets.select("source", "quota", "scale"))
     coarse = F.floor(F.col("fine") / RANGES).cast("long")
-    sums = sized.groupBy("source", coarse.alias("coarse")).agg(F.sum("size").alias("words"))
-    first = crossing(with_cut(sums, targets.select("source", "quota")).withColumn("before", F.lit(0).cast("long")), "coarse")
-    first = staged(first.select("source", "quota", "before", "coarse"), "mix-cut")
-    near = with_cut(sized.withColumn("at", coarse), first).filter(F.col("at") == F.col("coarse"))
+    sums = rows.groupBy("source", "quota", coarse.alias("coarse")).agg(F.sum("size").alias("words"))
+    first = staged(crossing(sums.withColumn("before", F.lit(0).cast("long")), "coarse").select("source", "before", "coarse"), "mix-cut")
+    near = _by_source(rows.withColumn("at", coarse), first).filter(F.col("at") == F.col("coarse"))
     sums = near.groupBy("source", "quota", "before", "fine").agg(F.sum("size").alias("words"))
-    second = staged(crossing(sums, "fine").select("source", "quota", "before", F.col("fine").alias("cut")), "mix-cut")
-    peers = with_cut(sized, second).filter(F.col("fine") == F.col("cut")).groupBy("source", "quota", "before", "cut", "rank", "doc_id", "size").agg(F.sum(F.col("size")).alias("words"))
-    order = ("rank", F.col("doc_id").asc_nulls_first(), "size")
-    reached = F.col("before") + F.sum("words").over(W.partitionBy("source").orderBy(*order))
+    second = staged(crossing(sums, "fine").select("source", "before", F.col("fine").alias("cut")), "mix-cut")
+    peers = _by_source(rows, second).filter(F.col("fine") == F.col("cut")).groupBy("source", "quota", "before", "rank", "doc_id", "size").agg(F.sum("size").alias("words"))
+    reached = F.col("before") + F.sum("words").over(W.partitionBy("source").orderBy("rank", F.col("doc_id").asc_nulls_first(), "size"))
     peers = peers.withColumn("reached", reached)
     nearer = F.abs(F.col("reached") - F.col("quota")) < F.abs(F.col("quota") - (F.col("reached") - F.col("words")))
     taken = (F.col("reached") <= F.col("quota")) | ((F.col("reached") - F.col("words") <= F.col("quota")) & nearer)
-    last = peers.filter(taken).groupBy("source").agg(F.max(F.struct("rank", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "size")).alias("last"))
-    cuts = second.select(F.col("source").alias("s2"), "cut")
-    last = last.withColumnRenamed("source", "s3")
-    plan = targets.join(cuts, F.col("source").eqNullSafe(F.col("s2")), "left").join(last, F.col("source").eqNullSafe(F.col("s3")), "left").drop("s2", "s3")
-    plan = staged(plan, "mix-plan")
-    own = F.struct("rank", F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "size")
-    extra = (F.col("quota") > 0) & (F.col("cut").isNull() | (F.col("fine") < F.col("cut")) | ((F.col("fine") == F.col("cut")) & F.coalesce(own <= F.col("last"), F.lit(False))))
-    copies = F.col("whole") + F.when(extra, 1).otherwise(0)
-    out = with_cut(sized, plan).withColumn("copies", copies)
+    last = peers.filter(taken).groupBy("source").agg(F.max(_place()).alias("last"))
+    return staged(_by_source(_by_source(targets, second.select("source", "cut"), "left"), last, "left"), "mix-plan")
+
+
+def with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Adds the columns of the plan, rank and copies."""
+    rows = ranked(rows, plan)
+    extra = (F.col("quota") > 0) & (F.col("cut").isNull() | (F.col("fine") < F.col("cut")) | ((F.col("fine") == F.col("cut")) & F.coalesce(_place() <= F.col("last"), F.lit(False))))
+    return rows.withColumn("copies", F.col("whole") + F.when(extra, 1).otherwise(0))
+
+
+def mix(
+    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: str = "mix",
+    emphasis: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """doc_id, source, rank, size, source_size, target, copies and taken of every document.
+
+    A document of a source with r = target / source_size gets floor(r) certain copies. The rest of the target is a
+    Pareto order sample: a document's inclusion probability is in proportion to its ``emphasis`` (log2 of 2 + size if not
+    given: longer texts are preferred, mildly), one at most, such that the words expected are the rest; documents are ranked by
+    their random odds over their inclusion odds and taken in that order until the source's words are full; the one at
+    the border is taken if that comes nearer. The cut is found from sums over ranges of the rank, so no source meets in
+    one task. Random numbers are a hash of seed, id and text: reruns agree, rows repeated in full share one rank and are
+    taken together, ties of rank go by id and size. A null text has size 0, a null source is one of its own, a null or
+    non-positive emphasis is included last, ids may be null and of any type that can be ordered. Very long texts are
+    counted whole, further columns don't matter, an empty table gives no rows.
+    """
+    sized = staged(sized_rows(docs, seed, emphasis, id_col, text_col, source_col).drop("row"), "mix-sizes")
+    out = with_copies(sized, source_plan(sized, weights, share, ceiling))
     return out.select("doc_id", "source", "rank", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(
+    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, ceiling: float = 2.0, seed: str = "mix",
+    emphasis: Column | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it: what only depends on the row is computed again, so no text is shuffled."""
+    rows = sized_rows(docs, seed, emphasis, id_col, text_col, source_col)
+    plan = source_plan(staged(rows.drop("row"), "mix-sizes"), weights, share, ceiling)
+    taken = with_copies(rows, plan).filter("copies > 0").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return taken.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
