@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import staged
+from lakemill.llm.common import dropped, staged, tidy
 
 GRAM = 48
-#: Rows up to which a table of text hashes is broadcast to filter texts before they are shuffled; else it is joined.
-BROADCAST = 1_000_000
+#: Rows up to which a table of text hashes (8 bytes each, about 20 MB as a hash table) is broadcast to filter texts before they are shuffled; else it is joined.
+BROADCAST = 200_000
 #: Shards of one anchor from which they are dealt out by offset and by the bytes that a range of offsets shares.
-HOT = 4096
+HOT = 1024
 #: Offsets in such a range.
 RANGE = 16
 #: Bytes of a text that are hashed at once.
@@ -103,7 +103,7 @@ def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
                 columns = [np.concatenate(x) for x in out]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:3]), *(pa.array(x, pa.int32()) for x in columns[3:])], ["anchor", "around", "text_hash", "at", "back", "starts"])
 
-    return texts.select("text_hash", "text").mapInArrow(run, "anchor long, around long, text_hash long, at int, back int, starts int")
+    return texts.select("text_hash", "text").mapInArrow(tidy(run), "anchor long, around long, text_hash long, at int, back int, starts int")
 
 
 def repeated_starts(block: np.ndarray, at: np.ndarray, buffer: np.ndarray, length: int) -> np.ndarray:
@@ -167,7 +167,7 @@ def merge_shards(shards: DataFrame, length: int) -> DataFrame:
         if held:
             yield from solved(pa.Table.from_batches(held))
 
-    return shards.repartition("key").sortWithinPartitions("key").mapInArrow(run, "text_hash long, first long, last long")
+    return shards.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "text_hash long, first long, last long")
 
 
 def _only(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -218,7 +218,7 @@ def repeated_ranges(texts: DataFrame, length: int, hot: int = HOT) -> DataFrame:
             if out:
                 yield _shard_batch(out)
 
-    shards = cut.select("text_hash", "text", "places").mapInArrow(run, "key long, text_hash long, base long, back int, starts int, bytes binary")
+    shards = cut.select("text_hash", "text", "places").mapInArrow(tidy(run), "key long, text_hash long, base long, back int, starts int, bytes binary")
     return whole.union(merge_shards(shards, length))
 
 
@@ -238,27 +238,51 @@ def spans_of(firsts: list[int], lasts: list[int], length: int) -> list[tuple[int
     return [(a, b) for a, b in out]
 
 
-def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
+def text_keys(rows: DataFrame, outlive) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (text, n_bytes) with a 64-bit text_hash that no two different texts share, and (text_hash, n, size) of repeated texts.
+
+    Where 128-bit digests show that a hash stands for several texts, these take a hash of their digests instead; ``outlive``
+    stages the list of such hashes.
+    """
+    rows = rows.withColumns({"text_hash": F.xxhash64("text"), "digest": F.unhex(F.md5(F.col("text").cast("binary")))})
+
+    def counted(rows: DataFrame) -> DataFrame:
+        found = rows.groupBy("text_hash").agg(F.count("*").alias("n"), F.max("n_bytes").alias("size"), (F.min("digest") != F.max("digest")).alias("several"))
+        return staged(found.filter("n > 1"), "suffix-copies")
+
+    copies = counted(rows.select("text_hash", "digest", "n_bytes"))
+    several = copies.filter("several").select(F.col("text_hash").alias("shared"))
+    if not several.isEmpty():
+        several = outlive(several, "suffix-several")  # a few in billions of texts
+        rows = rows.join(F.broadcast(several), F.col("text_hash") == F.col("shared"), "left")
+        rows = rows.withColumn("text_hash", F.when(F.col("shared").isNull(), F.col("text_hash")).otherwise(F.xxhash64("digest"))).drop("shared")
+        copies = counted(rows.select("text_hash", "digest", "n_bytes"))
+    return rows.drop("digest"), copies.select("text_hash", "n", "size")
+
+
+def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), with_text: bool = False, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, the columns ``keep`` and, if asked for, its left text.
 
     Bytes are removed that a ``length``-byte string covers that also starts anywhere else. Texts of two rows and more
-    are removed whole if long enough, whatever their ids; a null text is an empty one; null and repeated ids stay.
+    are removed whole if long enough, whatever their ids; a null text is an empty one; null and repeated ids stay. Very
+    long texts are searched whole, further columns don't matter, columns to keep may have any name, an empty table gives no rows.
     Left bytes that aren't UTF-8 (a string may start inside a character) are kept in the digest and dropped in the text.
     """
+    spark, kinds = docs.sparkSession, dict(docs.dtypes)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), *keep, text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("text_hash"))
-    copies = rows.groupBy("text_hash").agg(F.count("*").alias("n"), F.max("n_bytes").alias("size")).filter((F.col("n") > 1) & (F.col("size") >= length)).select("text_hash", F.lit(0).cast("long").alias("first"), (F.col("size") - length).alias("last"))
-    long_ = rows.filter(F.col("n_bytes") >= length).select("text_hash", "text")
-    ranges = staged(repeated_ranges(long_, length).union(copies), "suffix-ranges")
-    listed = ranges.groupBy("text_hash").agg(F.collect_list(F.struct("first", "last")).alias("found"))
-    # only texts that lose something are shuffled
-    hit = staged(listed, "suffix-found")
+    carried = [f"keep{k}" for k in range(len(keep))]
+    rows = docs.select(F.col(id_col).alias("doc_id"), *(F.col(f"`{c}`").alias(k) for c, k in zip(keep, carried, strict=True)), text.alias("text"), F.octet_length(text).cast("long").alias("n_bytes"))
+    with dropped(spark) as outlive:
+        rows, copies = text_keys(rows, outlive)
+        copies = copies.filter(F.col("size") >= length).select("text_hash", F.lit(0).cast("long").alias("first"), (F.col("size") - length).alias("last"))
+        long_ = rows.filter(F.col("n_bytes") >= length).select("text_hash", "text")
+        ranges = staged(repeated_ranges(long_, length, hot).union(copies), "suffix-ranges")
+        # only texts that lose something are shuffled
+        hit = outlive(ranges.groupBy("text_hash").agg(F.collect_list(F.struct("first", "last")).alias("found")), "suffix-found")
     keys = hit.select("text_hash")
-    small = hit.count() <= BROADCAST
-    keys = F.broadcast(keys) if small else keys
-    extra = [f"{c} {dict(docs.dtypes)[c]}" for c in ("doc_id", *keep) if c != "doc_id"]
-    names = ["doc_id", *keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text"] if with_text else [])]
-    schema = ", ".join([f"doc_id {dict(docs.dtypes)[id_col]}", *extra, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["text string"] if with_text else [])])
+    keys = F.broadcast(keys) if hit.count() <= BROADCAST else keys
+    names = ["doc_id", *carried, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text"] if with_text else [])]
+    schema = ", ".join([f"doc_id {kinds[id_col]}", *(f"{k} {kinds[c]}" for c, k in zip(keep, carried, strict=True)), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["text string"] if with_text else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -274,9 +298,10 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
                     rest = b"".join([*left, text[at:]])
                     got.append((sum(j - i for i, j in spans), len(spans), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")))
                 columns = [pa.array(x, k) for x, k in zip(zip(*got, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *keep, "n_bytes")), *columns[: 3 + with_text]], names)
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *carried, "n_bytes")), *columns[: 3 + with_text]], names)
 
     cut = rows.join(keys, "text_hash", "left_semi").join(hit, "text_hash")
-    cut = cut.select("doc_id", *keep, "n_bytes", "text", "found").mapInArrow(run, schema)
-    clean = rows.join(keys, "text_hash", "left_anti").select("doc_id", *keep, "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), *(["text"] if with_text else []))
-    return cut.unionByName(clean)
+    cut = cut.select("doc_id", *carried, "n_bytes", "text", "found").mapInArrow(tidy(run), schema)
+    clean = rows.join(keys, "text_hash", "left_anti").select("doc_id", *carried, "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), *(["text"] if with_text else []))
+    out = cut.unionByName(clean)
+    return out.select("doc_id", *(F.col(k).alias(c) for c, k in zip(keep, carried, strict=True)), *names[1 + len(keep) :])
