@@ -2,65 +2,101 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.llm import mixing, neardup, packing, quality, queries, suffixes
-from lakemill.llm.common import staged
-
+from lakemill.llm.common import delete, scratch_paths, staged
 
-def _digest(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__text_hash", F.xxhash64(F.col("text").cast("string")))
+#: Rows up to which the list of removed near copies (24 bytes each) is broadcast, so no text is shuffled; else it is joined.
+GONE = 500_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. Rows are told apart by id and text."""
-    keyed = _digest(docs).withColumn("__key", F.struct("doc_id", "__text_hash", "source"))
-    judged = quality.quality_rules(keyed, id_col="__key").filter("kept").select("doc_id.*").withColumnsRenamed({"doc_id": "__id", "__text_hash": "__hash", "source": "__source"})
-    fits = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")) & F.col("source").eqNullSafe(F.col("__source"))
-    return keyed.join(judged, fits, "left_semi").select(*docs.columns)
+    """Documents that the quality rules keep, as they are: rows are carried along, so none is looked up again.
+
+    A null text has no words and goes; null ids and sources stay if the text is kept; repeated rows are judged alike;
+    very long texts are judged whole; an empty table gives no rows. Further columns stay, whatever their names.
+    """
+    return quality.quality_rules(docs, whole=True).filter("kept").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): that of the least id."""
-    found = staged(neardup.near_duplicates(docs), "pipeline-groups")
+    """One document of each group of near copies (five-word shingles, similarity 0.8): that of the least id.
+
+    Texts without words are in no group and stay. Null ids stay where no other id is in the group; of rows repeated in
+    id and text one stays. Very long texts are compared whole; an empty table gives no rows. Further columns stay.
+    """
+    found = neardup.near_duplicates(docs)
     group = F.coalesce(F.col("component_id").cast("string"), F.hex("node"), F.lit(""))
-    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("x")
-    stays = found.filter("node is not null").groupBy(group.alias("g")).agg(first).select("x.doc_id", "x.text_hash")
-    stays = stays.union(found.filter("node is null").select("doc_id", "text_hash")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    keyed = _digest(docs)
-    kept = keyed.join(stays, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left_semi")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    firsts = found.filter("node is not null").groupBy(group.alias("g")).agg(F.min(place).alias("first"))
+    gone = found.filter("node is not null").withColumn("g", group).join(staged(firsts, "pipeline-firsts"), "g").filter(place != F.col("first"))
+    gone = staged(gone.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "pipeline-gone")
+    keyed = docs.withColumn("__text_hash", neardup.text_digest(F.col("text").cast("string")))
+    fits = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__text_hash").eqNullSafe(F.col("__hash"))
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= GONE else gone, fits, "left_anti")
     if not found.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id", "__text_hash"])  # rows repeated in full
     return kept.select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without strings of 200 bytes and more that also start elsewhere."""
+    """Documents without strings of 200 bytes and more that also start elsewhere.
+
+    A null text becomes an empty one; ids, nulls too, and further columns stay; rows repeated in text lose it if it is
+    long enough. Very long texts are searched whole; an empty table gives no rows.
+    """
     extra = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     left = suffixes.without_repeats(docs, keep=extra, with_text=True)
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    plan = mixing.mix(docs).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("rank").alias("__rank"), F.col("copies").cast("int").alias("__copies"))
-    ranked = docs.withColumn("__own", mixing.random_rank(F.col("doc_id"), F.col("text").cast("string"), "mix"))
-    taken = ranked.join(plan.dropDuplicates(["__id", "__rank"]), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__rank")))
-    return taken.withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)
+    """Each document as often as the mix takes it.
+
+    A null source is one of its own, a null or empty text has no words and comes as often as its source's whole copies;
+    rows repeated in id and text are taken together; ties of rank go by id; an empty table gives no rows. Further columns stay.
+    """
+    return mixing.mixed(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens."""
+    """Sequences of at most 4096 tokens: null texts are empty, ids may be null or repeat, very long texts are cut, an empty table gives no rows."""
     return packing.packed(docs, queries.tokenizer())
 
 
+#: Scratch tables of the last two stages that ran. A stage's result is written before the next one runs, so those of the
+#: stage before the last are read no more.
+_made: list[list[str]] = []
+
+
+def _stage(function):
+    """``function`` with scratch tables of a bounded life: they are deleted when the second stage after it begins."""
+
+    @functools.wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while len(_made) > 1:
+            for path in _made.pop(0):
+                delete(spark, path)
+        with scratch_paths() as made:
+            _made.append(made)
+            return function(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("suffix_dedup", repeated_passages),
-    ("mixing", mixing_weights),
-    ("packing", sequences),
+    (name, _stage(function))
+    for name, function in (
+        ("quality_rules", quality_rules),
+        ("near_duplicates", near_duplicates),
+        ("suffix_dedup", repeated_passages),
+        ("mixing", mixing_weights),
+        ("packing", sequences),
+    )
 ]
 
 #: No SQL: near duplicates, byte-wise removal and token ids can't be expressed in it.
