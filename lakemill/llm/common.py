@@ -82,6 +82,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def narrow(df: DataFrame, most: int) -> DataFrame:
+    """A staged table marked for broadcast if it has ``most`` rows at most; else it is joined by a shuffle."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def words(text: Column) -> Column:
     """The words of a text; none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))

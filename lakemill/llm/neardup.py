@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import dropped, staged, tidy
+from lakemill.llm.common import dropped, narrow, staged, tidy
 from lakemill.llm.graph import components
 
 #: Trees of the forest and MinHashes in the order of each. With REGION of them in common in a tree, documents share a
@@ -31,7 +31,7 @@ PARITY = 1024
 #: Rows of a region above which it is dealt out: by its deeper regions first; at full depth in the first pass by blocks of
 #: so many rows that share the region's first row, in the passes between components by pairs of such blocks.
 HOT = 50_000
-#: Rows up to which a table of region keys (8 bytes each) is broadcast.
+#: Rows up to which a table of region keys, nodes or their texts' digests (at most 66 bytes each) is broadcast.
 KEYS = 500_000
 K = TREES * DEPTH
 #: Bytes of a node: a flag for a null id, the least document id, a digest.
@@ -312,7 +312,7 @@ def between(rows: DataFrame, levels: list[DataFrame], least: float, percent: int
     of a region are returned, with its key; ``more`` says that there are others. ``only`` has the keys to search (of
     ``dealt_regions``). What is crowded at full depth and dealt out meets by pairs of blocks; regions of one component are passed over.
     """
-    rows = dealt_regions(rows, levels).join(F.broadcast(only) if only.count() <= KEYS else only, "key", "left_semi")
+    rows = dealt_regions(rows, levels).join(narrow(only, KEYS), "key", "left_semi")
     if len(levels) <= DEPTH - REGION:
         dealt = rows.withColumn("side", F.lit(0).cast("byte"))
     else:
@@ -443,7 +443,7 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, id_col: str, t
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         used = classes.select("node", F.col("doc_id").alias("own_id"), "text_hash").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
-        used = staged(used, "forest-used")
+        used = narrow(staged(used, "forest-used"), KEYS)
         texts = own.join(used, F.col("d").eqNullSafe(F.col("own_id")) & (F.col("h") == F.col("text_hash"))).groupBy("node").agg(F.min("text").alias("text"))
         return staged(texts, "forest-texts")
 
@@ -465,7 +465,7 @@ def _near_duplicates(docs: DataFrame, shingle: int, percent: int, id_col: str, t
     tested, most = every.select("a", "b"), PAIRS
     only = staged(apart(pairs.filter("a <> b")).select("key").union(pairs.filter("a = b").select("key")).distinct(), "forest-open")
     while not only.isEmpty():
-        labelled = single.join(found, "node", "left").select("node", "n_shingles", "bits", "parity", "forest", F.xxhash64(F.coalesce("root", "node")).alias("label"))
+        labelled = single.join(narrow(found, KEYS), "node", "left").select("node", "n_shingles", "bits", "parity", "forest", F.xxhash64(F.coalesce("root", "node")).alias("label"))
         near = staged(between(labelled, levels, least, percent, most, only, leaf), "forest-between")
         new = staged(near.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "forest-pairs")
         if not new.isEmpty():

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import dropped, staged, tidy
+from lakemill.llm.common import dropped, narrow, staged, tidy
 
 GRAM = 48
 #: Rows up to which a table of text hashes (8 bytes each, about 20 MB as a hash table) is broadcast to filter texts before they are shuffled; else it is joined.
@@ -173,7 +173,7 @@ def merge_shards(shards: DataFrame, length: int) -> DataFrame:
 def _only(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """Texts whose hash is in ``keys`` (small enough: broadcast, so no other text is shuffled)."""
     keys = staged(keys.select("text_hash").distinct(), "suffix-keys")
-    return texts.join(F.broadcast(keys) if keys.count() <= BROADCAST else keys, "text_hash", "left_semi")
+    return texts.join(narrow(keys, BROADCAST), "text_hash", "left_semi")
 
 
 def repeated_ranges(texts: DataFrame, length: int, hot: int = HOT) -> DataFrame:
@@ -279,8 +279,7 @@ def without_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
         ranges = staged(repeated_ranges(long_, length, hot).union(copies), "suffix-ranges")
         # only texts that lose something are shuffled
         hit = outlive(ranges.groupBy("text_hash").agg(F.collect_list(F.struct("first", "last")).alias("found")), "suffix-found")
-    keys = hit.select("text_hash")
-    keys = F.broadcast(keys) if hit.count() <= BROADCAST else keys
+    keys = narrow(hit.select("text_hash"), BROADCAST)
     names = ["doc_id", *carried, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["text"] if with_text else [])]
     schema = ", ".join([f"doc_id {kinds[id_col]}", *(f"{k} {kinds[c]}" for c, k in zip(keep, carried, strict=True)), "n_bytes long, n_removed long, n_spans long, kept_sha256 string", *(["text string"] if with_text else [])])
 
