@@ -10,6 +10,10 @@ from lakemill.functions.measures import log_ratio, share, shrink, tier, volume_l
 COMMUNITY = {"votes_up": 0.45, "votes_funny": 0.20, "comment_count": 0.25, "reaction_count": 0.10}
 W_COMMUNITY, W_LENGTH, W_EMOTIONAL, W_PLAYTIME, W_SENTIMENT = 1.5, 0.5, 0.3, 1.0, 1.0
 
+#: Measures of games that a rollup weighs by sentiment reviews, and by reviews.
+BY_SENTIMENT = ("pct_positive", "pct_neutral", "pct_negative", "alignment", "sentiment_rating")
+BY_REVIEWS = ("pct_early_access", "pct_bug_reports", "pct_refunded", "weighted_vote_rating", "vote_rating")
+
 
 def group_stats(reviews: DataFrame, salt: int = 1, key: str = "game_key") -> DataFrame:
     """Maxima and mean playtime of each game; with ``salt`` above 1 in two phases, for keys of very many rows."""
@@ -71,6 +75,7 @@ def game_scores(scored: DataFrame, games: DataFrame, known: DataFrame | None = N
         share(c >= 0.05).alias("pct_positive"), share(c <= -0.05).alias("pct_negative"), share((c > -0.05) & (c < 0.05)).alias("pct_neutral"),
         weighted_mean(F.col("sentiment_direction"), w).alias("weighted_sentiment"), weighted_mean(F.col("vote_direction"), w).alias("weighted_vote"),
         share(F.col("voted_up")).alias("pct_voted_up"), F.avg("playtime").alias("avg_playtime"), F.avg("emotional_intensity").alias("avg_emotional_intensity"),
+        share(F.col("early_access")).alias("pct_early_access"), share(F.col("bug_report")).alias("pct_bug_reports"), share(F.col("refunded")).alias("pct_refunded"), F.avg("word_count").alias("avg_word_count"),
     )
     rated = games.filter("coalesce(rating, 0) > 0 and coalesce(rating_count, 0) > 0")
     rows = rated.join(stats, "game_key", "left").crossJoin(prior)
@@ -91,13 +96,16 @@ def game_scores(scored: DataFrame, games: DataFrame, known: DataFrame | None = N
     return rows.drop("sentiment_prior", "vote_prior", "rating_prior")
 
 
-def member_rollup(scores: DataFrame, members: DataFrame, member: str) -> DataFrame:
-    """Count-weighted means of game scores for each member of a dimension, ``Unknown`` left out. ``members``: game_key, member."""
+def member_rollup(scores: DataFrame, members: DataFrame, member: str, reviewed: bool = True) -> DataFrame:
+    """Count-weighted means of game scores for each member of a dimension, ``Unknown`` left out. ``members``: game_key, member.
+
+    External ratings weigh by rating counts, sentiment measures by sentiment reviews, others by reviews; playtime is a
+    mean of means. Without ``reviewed`` only the external rating is summed up.
+    """
     joined = scores.join(members, "game_key").filter(F.col(member) != "Unknown")
-    n, s = F.col("total_reviews"), F.col("sentiment_reviews")
-    return joined.groupBy(member).agg(
-        F.count("*").alias("games"), F.count("total_reviews").alias("reviewed_games"), F.sum("total_reviews").alias("total_reviews"),
-        F.avg("external_rating").alias("external_rating"), weighted_mean(F.col("sentiment_rating"), s).alias("sentiment_rating"),
-        weighted_mean(F.col("weighted_vote_rating"), n).alias("weighted_vote_rating"), weighted_mean(F.col("vote_rating"), n).alias("vote_rating"),
-        weighted_mean(F.col("pct_positive"), n).alias("pct_positive"), weighted_mean(F.col("pct_negative"), n).alias("pct_negative"),
-    )
+    n, s, r = F.col("total_reviews"), F.col("sentiment_reviews"), F.col("rating_count")
+    ours = [F.count("external_rating").alias("rated_games"), weighted_mean(F.col("external_rating"), r).alias("external_rating"), F.sum("rating_count").alias("rating_count")]
+    if reviewed:
+        ours += [F.count("total_reviews").alias("reviewed_games"), F.sum("total_reviews").alias("total_reviews"), F.sum("sentiment_reviews").alias("sentiment_reviews"), F.avg("avg_playtime").alias("avg_playtime")]
+        ours += [weighted_mean(F.col(c), s).alias(c) for c in BY_SENTIMENT] + [weighted_mean(F.col(c), n).alias(c) for c in BY_REVIEWS]
+    return joined.groupBy(member).agg(*ours)

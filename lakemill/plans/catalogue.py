@@ -12,7 +12,7 @@ from lakemill.functions.measures import playtime_bucket, sentiment_label
 from lakemill.functions.sentiment import sentiment
 from lakemill.functions.text import clean_text, demojize, quality_features
 from lakemill.operators.cleaning import dedup_latest, null_sentinels, top_per_group
-from lakemill.operators.scoring import game_scores, group_stats, influence, member_rollup
+from lakemill.operators.scoring import BY_REVIEWS, BY_SENTIMENT, game_scores, group_stats, influence, member_rollup
 from lakemill.plans import proxy
 from lakemill.plans.proxy import table
 from lakemill.sources import control
@@ -56,10 +56,14 @@ _INFLUENCE = f"""{_REVIEWS}, signals as (
 )"""
 _SHRINK = lambda x, prior, n: f"100 * ({x} - ({x} - {prior}) * pow(2, -log10({n} + 1)))"
 _TIER = lambda r, n: f"case when {r} is null then null when {n} < 10 then 'Insufficient Data' when round({r}, 2) >= 95 then 'S' when round({r}, 2) >= 87 then 'A' when round({r}, 2) >= 78 then 'B' when round({r}, 2) >= 68 then 'C' when round({r}, 2) >= 55 then 'D' else 'F' end"
-_LADDER = lambda a, b, z: f"case when r >= 95 then '{a}' when r >= 80 then '{b}' when r >= 70 then 'Mostly Positive' when r >= 40 then 'Mixed' when r >= 20 then 'Mostly Negative' else '{z} Negative' end"
-_LABEL = f"""case when total_reviews is null then null when total_reviews >= 500 then {_LADDER('Overwhelmingly Positive', 'Very Positive', 'Overwhelmingly')}
-    when total_reviews >= 50 then {_LADDER('Very Positive', 'Very Positive', 'Very')} when total_reviews >= 10 then replace({_LADDER('Positive', 'Positive', '')}, ' Negative', 'Negative') else 'Insufficient Data' end"""
-_LABEL = _LABEL.replace("replace(", "(").replace(", ' Negative', 'Negative')", ")").replace("else ' Negative'", "else 'Negative'")
+def _ladder(best: str, good: str, worst: str) -> str:
+    return f"case when r >= 95 then '{best}' when r >= 80 then '{good}' when r >= 70 then 'Mostly Positive' when r >= 40 then 'Mixed' when r >= 20 then 'Mostly Negative' else '{worst}' end"
+
+
+_LABEL = f"""case when total_reviews is null then null
+    when total_reviews >= 500 then {_ladder('Overwhelmingly Positive', 'Very Positive', 'Overwhelmingly Negative')}
+    when total_reviews >= 50 then {_ladder('Very Positive', 'Very Positive', 'Very Negative')}
+    when total_reviews >= 10 then {_ladder('Positive', 'Positive', 'Negative')} else 'Insufficient Data' end"""
 _SCORES = f"""{_INFLUENCE}, games as (
   select p_partkey as game_key, p_name as game_name, cast(p_size * 2 as double) as rating, cast(p_partkey % 40 as bigint) as rating_count from part
 ), prior as (
@@ -70,7 +74,9 @@ _SCORES = f"""{_INFLUENCE}, games as (
     sum(case when compound >= 0.05 then 1.0 else 0.0 end) / count(*) as pct_positive, sum(case when compound <= -0.05 then 1.0 else 0.0 end) / count(*) as pct_negative,
     sum(case when compound > -0.05 and compound < 0.05 then 1.0 else 0.0 end) / count(*) as pct_neutral,
     sum(sentiment_direction * influence) / nullif(sum(influence), 0) as weighted_sentiment, sum(vote_direction * influence) / nullif(sum(influence), 0) as weighted_vote,
-    sum(case when voted_up then 1.0 else 0.0 end) / count(*) as pct_voted_up, avg(playtime) as avg_playtime, avg(emotional_intensity) as avg_emotional_intensity
+    sum(case when voted_up then 1.0 else 0.0 end) / count(*) as pct_voted_up, avg(playtime) as avg_playtime, avg(emotional_intensity) as avg_emotional_intensity,
+    sum(case when early_access then 1.0 else 0.0 end) / count(*) as pct_early_access, sum(case when bug_report then 1.0 else 0.0 end) / count(*) as pct_bug_reports,
+    sum(case when refunded then 1.0 else 0.0 end) / count(*) as pct_refunded, avg(word_count) as avg_word_count
   from scored group by game_key
 ), rated as (
   select g.*, s.* exclude (game_key), {_SHRINK('rating / 100', 'rp', 'rating_count')} as external_rating, {_SHRINK('(weighted_sentiment + 1) / 2', 'sp', 'sentiment_reviews')} as sentiment_rating,
@@ -85,7 +91,7 @@ _MEMBERS = {
     "theme": "select distinct p_partkey as game_key, unnest(string_split(p_name, ' ')) as theme from part",
     "platform": "select distinct p_partkey as game_key, p_brand as platform from part",
 }
-_DOUBLES = ("rating", "pct_positive", "pct_negative", "pct_neutral", "weighted_sentiment", "weighted_vote", "pct_voted_up", "avg_playtime", "avg_emotional_intensity", "external_rating", "sentiment_rating", "weighted_vote_rating", "vote_rating", "alignment")
+_DOUBLES = ("rating", "pct_positive", "pct_negative", "pct_neutral", "weighted_sentiment", "weighted_vote", "pct_voted_up", "avg_playtime", "avg_emotional_intensity", "external_rating", "sentiment_rating", "weighted_vote_rating", "vote_rating", "alignment", "pct_early_access", "pct_bug_reports", "pct_refunded", "avg_word_count")
 _R = lambda *names: ", ".join(f"round({x}, {8 if x == 'avg_playtime' else 6}) as {x}" for x in names)
 
 
@@ -119,14 +125,17 @@ def salted_group_stats(spark, sf_dir):
 
 
 def _rollup(dimension: str):
-    names = ("external_rating", "sentiment_rating", "weighted_vote_rating", "vote_rating", "pct_positive", "pct_negative")
     weigh = lambda c, n: f"round(sum({c} * {n}) / nullif(sum({n}), 0), 6) as {c}"
-    sql = f"""with {_SCORES}, members as ({_MEMBERS[dimension]}) select {dimension}, count(*) as games, count(total_reviews) as reviewed_games, cast(sum(total_reviews) as bigint) as total_reviews,
-      round(avg(external_rating), 6) as external_rating, {weigh('sentiment_rating', 'sentiment_reviews')}, {', '.join(weigh(c, 'total_reviews') for c in names[2:])}
-      from scores join members using (game_key) group by {dimension}"""
+    measures = [f"count(external_rating) as rated_games, {weigh('external_rating', 'rating_count')}, cast(sum(rating_count) as bigint) as rating_count"]
+    if dimension != "platform":
+        measures.append("count(total_reviews) as reviewed_games, cast(sum(total_reviews) as bigint) as total_reviews, cast(sum(sentiment_reviews) as bigint) as sentiment_reviews, round(avg(avg_playtime), 4) as avg_playtime")
+        measures += [weigh(c, "sentiment_reviews") for c in BY_SENTIMENT] + [weigh(c, "total_reviews") for c in BY_REVIEWS]
+    sql = f"with {_SCORES}, members as ({_MEMBERS[dimension]}) select {dimension}, {', '.join(measures)} from scores join members using (game_key) group by {dimension}"
 
     def run(spark, sf_dir):
-        return rounded(member_rollup(_scores(spark, sf_dir), proxy.members(spark, sf_dir, dimension), dimension))
+        rows = member_rollup(_scores(spark, sf_dir), proxy.members(spark, sf_dir, dimension), dimension, reviewed=dimension != "platform")
+        # a mean of means over any number of games: digits that no order of the sum changes
+        return rounded(rows.withColumn("avg_playtime", F.round("avg_playtime", 4)) if "avg_playtime" in rows.columns else rows)
 
     QUERIES[f"agg_{dimension}s"], ORACLES[f"agg_{dimension}s"] = run, sql
 

@@ -23,6 +23,11 @@ REVIEW = {
     "is_eligible": "l_linestatus = 'O' and l_returnflag <> 'N'",
     "compound": "(l_quantity - 25) / 25",
     "playtime": "l_extendedprice",
+    "early_access": "l_linenumber = 7",
+    "bug_report": "l_suppkey % 11 = 0",
+    "refunded": "l_linenumber = 6",
+    "word_count": "cast(l_quantity * 2 as bigint)",
+    "review_text": "concat('Order ', l_orderkey, ' of part ', l_partkey, ' from supplier ', l_suppkey, ' came back as ', l_returnflag)",
 }
 
 

@@ -1,13 +1,15 @@
 """Versioned Parquet tables: snapshots, commit log, hash-gated upserts, change feed, time travel.
 
-Layout: ``v=N`` holds snapshot N, ``changes/v=N`` its row changes, ``log/N.json`` the commit, created exclusively so
-that of two writers of one version one fails. Snapshots may be clustered by a key.
+Layout: ``log/N.json`` is commit N. It names the folders ``data/X`` with the snapshot and ``changes/X`` with its row changes;
+X tells the writer, so nobody writes over another's files. The commit is created exclusively, after its data: of two
+writers of one version one fails and takes its own folders back. Snapshots may be clustered by a key.
 """
 
 from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +22,10 @@ class DuplicateKeys(ValueError):
     """A source of an upsert has a key twice."""
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer made the version first; the operation may be tried again on what is there now."""
+
+
 class LakeTable:
     def __init__(self, spark: SparkSession, path: str, cluster_by: tuple[str, ...] = ()):
         self.spark, self.path, self.cluster_by = spark, path.rstrip("/"), cluster_by
@@ -43,22 +49,26 @@ class LakeTable:
         found = self.version() if version is None else version
         if found not in self.versions():
             raise LookupError(f"no version {found} of {self.path}")
-        return self.spark.read.parquet(f"{self.path}/v={found}")
+        return self.spark.read.parquet(f"{self.path}/data/{self._entry(found)['name']}")
+
+    def _entry(self, version: int) -> dict:
+        return json.loads("".join(x[0] for x in self.spark.read.text(f"{self.path}/log/{version}.json").collect()))
 
     def history(self) -> DataFrame:
         """version, operation, timestamp and metrics of every commit."""
         return self.spark.read.schema("version long, operation string, timestamp double, metrics map<string,long>").json(f"{self.path}/log/*.json")
 
     def detail(self) -> dict:
-        files = self._fs().getContentSummary(self._path(f"v={self.version()}"))
+        files = self._fs().getContentSummary(self._path(f"data/{self._entry(self.version())['name']}"))
         return {"format": "parquet", "version": self.version(), "files": files.getFileCount(), "bytes": files.getLength(), "cluster_by": list(self.cluster_by)}
 
     def changes(self, start: int = 0) -> DataFrame:
         """Row changes of the versions from ``start`` on, with _change_type, _commit_version and _commit_timestamp."""
         parts = []
         for v in self.versions():
-            if v >= start and self._fs().exists(self._path(f"changes/v={v}")):
-                parts.append(self.spark.read.parquet(f"{self.path}/changes/v={v}").withColumn("_commit_version", F.lit(v).cast("long")))
+            folder = f"changes/{self._entry(v)['name']}" if v >= start else None
+            if folder and self._fs().exists(self._path(folder)):
+                parts.append(self.spark.read.parquet(f"{self.path}/{folder}").withColumn("_commit_version", F.lit(v).cast("long")))
         if not parts:
             return self.read().limit(0).select("*", F.lit("").alias("_change_type"), F.lit(0).cast("long").alias("_commit_version"), F.lit(0.0).alias("_commit_timestamp"))
         out = parts[0]
@@ -67,29 +77,51 @@ class LakeTable:
         times = self.history().select(F.col("version").alias("_commit_version"), F.col("timestamp").alias("_commit_timestamp"))
         return out.join(F.broadcast(times), "_commit_version", "left")
 
-    def _commit(self, rows: DataFrame, operation: str, metrics: Mapping[str, int], version: int) -> int:
+    def _commit(self, rows: DataFrame, operation: str, metrics: Mapping[str, int], version: int, name: str) -> int:
         if self.cluster_by:
             rows = rows.repartitionByRange(*self.cluster_by).sortWithinPartitions(*self.cluster_by)
-        rows.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        out = self._fs().create(self._path(f"log/{version}.json"), False)
-        out.write(bytearray(json.dumps({"version": version, "operation": operation, "timestamp": time.time(), "metrics": dict(metrics)}).encode()))
+        rows.write.parquet(f"{self.path}/data/{name}")
+        entry = {"version": version, "operation": operation, "timestamp": time.time(), "metrics": dict(metrics), "name": name}
+        try:
+            out = self._fs().create(self._path(f"log/{version}.json"), False)
+        except Exception as e:
+            self._discard(name)
+            raise ConcurrentWrite(f"{self.path}: version {version} is there") from e
+        out.write(bytearray(json.dumps(entry).encode()))
         out.close()
         return version
 
-    def _log_changes(self, changed: DataFrame, version: int) -> dict[str, int]:
-        changed.write.mode("overwrite").parquet(f"{self.path}/changes/v={version}")
-        written = self.spark.read.schema(changed.schema).parquet(f"{self.path}/changes/v={version}")
+    def _discard(self, name: str) -> None:
+        for folder in ("data", "changes", "source"):
+            self._fs().delete(self._path(f"{folder}/{name}"), True)
+
+    def _log_changes(self, changed: DataFrame, name: str) -> dict[str, int]:
+        changed.write.parquet(f"{self.path}/changes/{name}")
+        written = self.spark.read.schema(changed.schema).parquet(f"{self.path}/changes/{name}")
         return {x[0]: x[1] for x in written.groupBy("_change_type").count().collect()}
 
+    def _next(self) -> tuple[int, str]:
+        version = self.version() + 1
+        return version, f"{version}-{uuid.uuid4().hex}"
+
+    def _replace(self, rows: DataFrame, operation: str, metrics: Mapping[str, int]) -> int:
+        """All rows go and ``rows`` come, in the change feed too."""
+        version, name = self._next()
+        changed = rows.withColumn("_change_type", F.lit(INSERT))
+        if version:
+            changed = changed.unionByName(self.read().withColumn("_change_type", F.lit(DELETE)), allowMissingColumns=True)
+        self._log_changes(changed, name)
+        return self._commit(rows, operation, metrics, version, name)
+
     def overwrite(self, rows: DataFrame, operation: str = "WRITE") -> int:
-        return self._commit(rows, operation, {}, self.version() + 1)
+        return self._replace(rows, operation, {})
 
     def append(self, rows: DataFrame) -> int:
         """Adds rows; columns that either side lacks become NULL there."""
-        version = self.version() + 1
-        n = self._log_changes(rows.withColumn("_change_type", F.lit(INSERT)), version).get(INSERT, 0)
+        version, name = self._next()
+        n = self._log_changes(rows.withColumn("_change_type", F.lit(INSERT)), name).get(INSERT, 0)
         base = self.read().unionByName(rows, allowMissingColumns=True) if version else rows
-        return self._commit(base, "APPEND", {"inserted": n}, version)
+        return self._commit(base, "APPEND", {"inserted": n}, version, name)
 
     def upsert(self, source: DataFrame, keys: list[str], hash_column: str | None = None, on_insert: Mapping[str, Column] | None = None, on_update: Mapping[str, Column] | None = None) -> dict[str, int]:
         """Inserts new keys and updates those whose hash differs (null-safe); {"inserted", "updated"}, no commit if both are 0.
@@ -97,14 +129,23 @@ class LakeTable:
         Keys must be unique in ``source`` and match null-safe. ``on_insert`` and ``on_update`` set further columns.
         Columns that only the table has keep their values; new columns are NULL in rows left alone.
         """
+        version, name = self._next()
+        # the source is evaluated once: the change feed and the snapshot see the same rows
+        source.write.parquet(f"{self.path}/source/{name}")
+        source = self.spark.read.schema(source.schema).parquet(f"{self.path}/source/{name}")
+        try:
+            return self._merge(source, keys, hash_column, on_insert, on_update, version, name)
+        finally:
+            self._fs().delete(self._path(f"source/{name}"), True)
+
+    def _merge(self, source: DataFrame, keys: list[str], hash_column: str | None, on_insert: Mapping[str, Column] | None, on_update: Mapping[str, Column] | None, version: int, name: str) -> dict[str, int]:
         if not source.groupBy(*keys).count().filter("count > 1").isEmpty():
             raise DuplicateKeys(f"{self.path}: source repeats a key of {keys}")
-        version = self.version() + 1
         on_insert, on_update = dict(on_insert or {}), dict(on_update or {})
         if not version:
             rows = source.withColumns(on_insert) if on_insert else source
-            n = self._log_changes(rows.withColumn("_change_type", F.lit(INSERT)), 0).get(INSERT, 0)
-            self._commit(rows, "MERGE", {"inserted": n, "updated": 0}, 0)
+            n = self._log_changes(rows.withColumn("_change_type", F.lit(INSERT)), name).get(INSERT, 0)
+            self._commit(rows, "MERGE", {"inserted": n, "updated": 0}, 0, name)
             return {"inserted": n, "updated": 0}
         target = self.read()
         t, s = target.withColumn("__t", F.lit(True)).alias("t"), source.withColumn("__s", F.lit(True)).alias("s")
@@ -128,33 +169,33 @@ class LakeTable:
         kind = F.when(new, INSERT).when(changed, UPDATE).alias("_change_type")
         after = joined.select(*(value(c) for c in columns), kind)
         before = joined.filter(changed).select(*(F.col(f"t.{c}").alias(c) for c in target.columns), F.lit(BEFORE).alias("_change_type"))
-        counts = self._log_changes(after.filter("_change_type is not null").unionByName(before, allowMissingColumns=True), version)
+        counts = self._log_changes(after.filter("_change_type is not null").unionByName(before, allowMissingColumns=True), name)
         done = {"inserted": counts.get(INSERT, 0), "updated": counts.get(UPDATE, 0)}
         if not any(done.values()):
-            self._fs().delete(self._path(f"changes/v={version}"), True)
+            self._discard(name)
             return done
-        self._commit(after.drop("_change_type"), "MERGE", done, version)
+        self._commit(after.drop("_change_type"), "MERGE", done, version, name)
         return done
 
     def delete(self, condition: Column) -> int:
         gone = F.coalesce(condition, F.lit(False))
-        version, rows = self.version() + 1, self.read()
-        n = self._log_changes(rows.filter(gone).withColumn("_change_type", F.lit(DELETE)), version).get(DELETE, 0)
-        return self._commit(rows.filter(~gone), "DELETE", {"deleted": n}, version)
+        (version, name), rows = self._next(), self.read()
+        n = self._log_changes(rows.filter(gone).withColumn("_change_type", F.lit(DELETE)), name).get(DELETE, 0)
+        return self._commit(rows.filter(~gone), "DELETE", {"deleted": n}, version, name)
 
     def update(self, condition: Column, values: Mapping[str, Column]) -> int:
         hit = F.coalesce(condition, F.lit(False))
-        version, rows = self.version() + 1, self.read()
+        (version, name), rows = self._next(), self.read()
         after = rows.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
         post = rows.filter(hit).withColumns(dict(values)).withColumn("_change_type", F.lit(UPDATE))
-        n = self._log_changes(post.unionByName(rows.filter(hit).withColumn("_change_type", F.lit(BEFORE))), version).get(UPDATE, 0)
-        return self._commit(after, "UPDATE", {"updated": n}, version)
+        n = self._log_changes(post.unionByName(rows.filter(hit).withColumn("_change_type", F.lit(BEFORE))), name).get(UPDATE, 0)
+        return self._commit(after, "UPDATE", {"updated": n}, version, name)
 
     def truncate(self) -> int:
-        return self._commit(self.read().limit(0), "TRUNCATE", {}, self.version() + 1)
+        return self._replace(self.read().limit(0), "TRUNCATE", {})
 
     def restore(self, version: int) -> int:
-        return self._commit(self.read(version), "RESTORE", {"restored": version}, self.version() + 1)
+        return self._replace(self.read(version), "RESTORE", {"restored": version})
 
     def optimize(self, files: int) -> int:
-        return self._commit(self.read().coalesce(files), "OPTIMIZE", {}, self.version() + 1)
+        return self._commit(self.read().coalesce(files), "OPTIMIZE", {}, *self._next())

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lakemill.functions import sentiment, text
 from lakemill.functions.keys import row_hash
-from lakemill.plans import catalogue
+import __spark_entry__ as entry
+from lakemill.plans import catalogue, findings, operations
 from lakemill.plans.dag import Run, Stage, execute
 from lakemill.sources import control, landing
 from lakemill.sources.lake import DuplicateKeys, LakeTable
@@ -27,11 +28,14 @@ def plain(x):
     return repr(round(float(x), 6)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+SQL = {**catalogue.ORACLES, **findings.ORACLES, **operations.ORACLES}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, oracle, name):
-    got = catalogue.QUERIES[name](spark, SF)
+    got = entry.queries()[name](spark, SF)
     columns = sorted(got.columns)
-    want = oracle.execute(f"select {', '.join(columns)} from ({catalogue.ORACLES[name]})").fetchall()
+    want = oracle.execute(f"select {', '.join(columns)} from ({SQL[name]})").fetchall()
     rows = [tuple(r) for r in got.select(*columns).collect()]
     assert sorted(tuple(map(plain, r)) for r in rows) == sorted(tuple(map(plain, r)) for r in want)
 
