@@ -30,16 +30,29 @@ GOOD = re.compile(r"(?i)(^|[\s_-])(article|body|content|entry|hentry|main|page|p
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _SPACE = re.compile(r"[\x20\t\n\v\f\r]+")
-_TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.DOTALL)
+_BEGIN = re.compile(r"<(?=[!?]|/?[a-zA-Z])")
+_OTHER = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?", re.DOTALL)
+_TAG = re.compile(r"</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", re.DOTALL)
+_BARE = re.compile(r"</?[a-zA-Z][^>]*>", re.DOTALL)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"\s(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 
 
+#: Elements that a head may hold; any other tag, or text, ends it.
+IN_HEAD = frozenset("html head title meta link script style base noscript template basefont bgsound".split())
+#: So many blocks up, elements are looked for that an opening tag closes.
+REACH = 64
+
+
 class Node:
-    __slots__ = ("tag", "parent", "children", "hint", "score", "length", "linked", "commas")
+    """An element. ``block`` is the nearest block, itself included; ``open`` counts the inline elements that are open in a block."""
+
+    __slots__ = ("tag", "parent", "children", "hint", "score", "length", "linked", "commas", "block", "open")
 
     def __init__(self, tag: str, parent: Node | None, hint: int):
         self.tag, self.parent, self.hint = tag, parent, hint
+        self.open: dict[str, int] | None = {} if parent is None or tag in BLOCKS else None
+        self.block: Node = self if self.open is not None else parent.block
         self.children: list[Node | str] = []
         self.score = 0.0
         self.length = self.linked = self.commas = 0
@@ -58,18 +71,55 @@ def _hint(tag: str, source: str) -> int:
     return int(tag in ("article", "main") or bool(GOOD.search(names)))
 
 
+def tags(source: str) -> Iterator[tuple[str, str, int]]:
+    """(text, tag, where the tag ends) in turn, in linear time; the last tag is empty. ``send`` gives a place to go on from.
+
+    A quote that is never closed ends the care for quotes: from there on a tag ends at the next bracket.
+    """
+    at, n, careful = 0, len(source), True
+    while True:
+        begin = _BEGIN.search(source, at)
+        found = None
+        if begin:
+            if source[begin.end()] in "!?":
+                found = _OTHER.match(source, begin.start())
+            else:
+                found = _TAG.match(source, begin.start()) if careful else None
+                if not found:
+                    careful = False
+                    found = _BARE.match(source, begin.start())
+        if not found:  # no bracket is left to end a tag
+            yield source[at:], "", n
+            return
+        text, at = source[at : found.start()], found.end()
+        at = (yield text, found[0], at) or at
+
+
 def parse(source: str) -> Node:
-    """The element tree. Unclosed and crossing tags are mended: blocks close paragraphs, an end tag without a start is left out."""
+    """The element tree, in linear time. Unclosed and crossing tags are mended: blocks close paragraphs, a head ends with the first body tag, an end tag without a start is left out."""
     root = node = Node("html", None, 0)
-    at, n = 0, len(source)
-    while at < n:
-        found = _TAG.search(source, at)
-        text = source[at : found.start() if found else n]
+    n, head = len(source), None
+    blocks_open: dict[str, int] = {}
+
+    def left(x: Node, up: Node) -> Node:
+        """``up``, after the elements from ``x`` to below it were closed."""
+        while x is not up:
+            counts = blocks_open if x.open is not None else x.block.open
+            counts[x.tag] -= 1
+            x = x.parent
+        return up
+
+    stream, jump = tags(source), None
+    while True:
+        try:
+            text, tag, at = stream.send(jump)
+        except StopIteration:
+            return root
+        jump = None
+        if head is not None and node is head and text.strip():
+            node, head = left(node, head.parent), None
         if text:
             node.children.append(html.unescape(text))
-        if not found:
-            break
-        at, tag = found.end(), found[0]
         name = _NAME.match(tag)
         if not name:
             if tag.startswith("<![CDATA["):
@@ -77,37 +127,39 @@ def parse(source: str) -> Node:
             continue
         name = name[1].lower()
         if tag[1] == "/":
-            up = node
-            while up is not root and up.tag != name and not (up.tag in BLOCKS and name not in BLOCKS):
-                up = up.parent
-            if up is not root and up.tag == name:
-                node = up.parent
+            if (blocks_open if name in BLOCKS else node.block.open).get(name):
+                up = node
+                while up.tag != name or up is root:
+                    up = up.parent
+                node = left(node, up.parent)
+                head = None if name == "head" else head
             continue
         if name in ("html", "body") and node is root:
             continue
-        if name in CLOSES_P:
-            up = node
-            while up is not root and up.tag != "p" and up.tag not in BLOCKS:
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+        if head is not None and name not in IN_HEAD:
+            node, head = left(node, head.parent), None
+            if name == "body":
+                continue
+        if name in CLOSES_P and node.block.tag == "p":
+            node = left(node, node.block.parent)
         if name in CLOSES:
             closed, stops = (x.split() for x in CLOSES[name])
-            up, last = node, None
-            while up is not root and up.tag not in stops:
+            up, last, reach = node.block if name != "option" else node, None, REACH
+            while up is not root and up.tag not in stops and reach:
                 last = up if up.tag in closed else last
-                up = up.parent
-            node = last.parent if last else node
+                up, reach = (up.parent.block if name != "option" else up.parent), reach - 1
+            node = left(node, last.parent) if last else node
         if name in HEADINGS and node.tag in HEADINGS:
-            node = node.parent
+            node = left(node, node.parent)
         new = Node(name, node, _hint(name, tag))
         node.children.append(new)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            at = end.end() if end else n
+            jump = end.end() if end else n
         elif name not in VOID and not tag.endswith("/>"):
-            node = new
-    return root
+            counts = blocks_open if new.open is not None else new.block.open
+            counts[name] = counts.get(name, 0) + 1
+            node, head = new, new if name == "head" else head
 
 
 def _measure(node: Node, in_link: bool) -> None:
@@ -221,7 +273,8 @@ def main_text(source: str | None) -> str:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page, whole and without a shuffle.
 
-    A null page is an empty one; null ids and urls, repeated rows and further columns don't matter.
+    A null page is an empty one; null ids and urls, repeated rows and further columns don't matter, very long pages are
+    taken whole, an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
