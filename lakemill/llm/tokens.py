@@ -32,7 +32,7 @@ NULL_ID = -(2**63)
 #: Entries of one generation of the chunk cache; two generations are held.
 CACHE = 100_000
 #: Bytes of text whose distinct chunks are looked up at once.
-SLICE = 16 << 20
+SLICE = 24 << 20
 #: Chunks that are encoded at once, and chunks of whole texts that are turned into ids at once.
 PIECE, GATHER = 4096, 1 << 19
 
