@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -97,13 +98,20 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as Python workers live on beside the next stage's heap."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc lack it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(run):
-    """``run`` for ``mapInArrow``; what it took is given back at its end, as workers live on beside the next stage's heap."""
+    """``run`` for ``mapInArrow`` or ``mapInPandas``; what it took is given back at its end."""
 
     def wrapped(batches):
-        import pyarrow as pa
-
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     return wrapped

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import staged
+from lakemill.llm.common import staged, tidy
 from lakemill.llm.tokens import crc32_u32, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -38,7 +38,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, limit: int, id_co
                 columns = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(tidy(cut), PIECES)
 
 
 def sum_of_squares(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +85,7 @@ def pack(pieces: DataFrame, limit: int, group: int = GROUP) -> DataFrame:
 
     key = F.xxhash64("doc_id", "piece", "ids_crc32")
     dealt = pieces.withColumn("key", key).repartition(parts, "key").sortWithinPartitions(F.desc("length"), "key", "doc_id", "piece").drop("key")
-    return dealt.mapInPandas(place, f"{PIECES}, sequence_id long, offset long")
+    return dealt.mapInPandas(tidy(place), f"{PIECES}, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = 4096) -> DataFrame:

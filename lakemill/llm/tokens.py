@@ -25,12 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakemill.llm.common import scratch
+from lakemill.llm.common import give_back, scratch
 
 #: Stored for a null document id.
 NULL_ID = -(2**63)
-#: Entries of one generation of the chunk cache; two generations are held.
-CACHE = 100_000
 #: Bytes of text whose distinct chunks are looked up at once.
 SLICE = 24 << 20
 #: Chunks that are encoded at once, and chunks of whole texts that are turned into ids at once.
@@ -43,12 +41,12 @@ _encoders: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
-    """Encodes texts with a ``tokenizers`` file, each distinct white-space-delimited chunk of a batch only once.
+    """Encodes texts with a ``tokenizers`` file, each distinct white-space-delimited chunk of a slice only once.
 
     Right for tokenizers that drop white space between their pre-tokens, as no token then spans a chunk's border; a
     probe finds whether one does, and any other gets its texts whole. Probes also find whether ASCII letters may be
     lowered first and whether a word and the comma or full stop behind it may be encoded apart, without normaliser.
-    Chunks of earlier batches are kept in a cache of two generations, so memory is bounded.
+    Nothing is kept from slice to slice, so memory is bounded.
     """
 
     def __init__(self, path: str):
@@ -57,8 +55,6 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
         probe = "ab, cd\n\tef  1 2.\r\n"
         self.chunked = self._whole([probe])[0] == b"".join(self._whole(probe.split()))
         self.lowers = self.chunked and self._whole(["QÉ A"]) == self._whole(["qÉ a"])
@@ -90,7 +86,7 @@ class ChunkEncoder:
         while lo < len(texts):
             hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + SLICE, "right")))
             yield from self._slice(pa.concat_arrays([texts.slice(lo, hi - lo)]), end_id)  # kernels misread some slices; a copy is safe
-            pa.default_memory_pool().release_unused()
+            give_back()
             lo = hi
 
     def _slice(self, texts: pa.Array, end_id: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -122,37 +118,28 @@ class ChunkEncoder:
             lo = hi
 
     def _known(self, chunks: list[str]) -> list[bytes]:
-        if len(self.young) > CACHE:
-            self.old, self.young = self.young, {}
-        got = [*map(self.young.get, chunks)]
-        for k, x in enumerate(chunks):
-            if got[k] is None and (known := self.old.get(x)) is not None:
-                got[k] = self.young[x] = known
-        missing = [k for k, x in enumerate(got) if x is None]
+        """The ids of distinct chunks."""
+        got: list[bytes] = [b""] * len(chunks)
         plain: list[tuple[int, str, str]] = []
+        rest = range(len(chunks))
         if self.apart:
             rest = []
-            for k in missing:
-                x = chunks[k]
+            for k, x in enumerate(chunks):
                 stop = x[-1:] if x[-1:] in ",." else ""
                 letters = x[: len(x) - len(stop)]
                 if PLAIN(letters):
                     plain.append((k, letters, stop))
                 else:
                     rest.append(k)
-            missing = rest
             for (k, _, stop), x in zip(plain, self._plain([x for _, x, _ in plain]), strict=True):
                 got[k] = x + self.stops[stop]
-        for k, x in zip(missing, self._whole([chunks[k] for k in missing]), strict=True):
+        for k, x in zip(rest, self._whole([chunks[k] for k in rest]), strict=True):
             got[k] = x
-        for k in [*missing, *(x[0] for x in plain)]:
-            if len(self.young) <= CACHE:
-                self.young[chunks[k]] = got[k]
         return got
 
 
 def encoder(path: str) -> ChunkEncoder:
-    """This process's encoder for the file; Python workers are reused, so its cache lasts over tasks."""
+    """This process's encoder for the file; Python workers are reused, so it is loaded once in each."""
     if path not in _encoders:
         _encoders[path] = ChunkEncoder(path)
     return _encoders[path]
