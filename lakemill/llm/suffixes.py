@@ -31,6 +31,8 @@ BROADCAST = 200_000
 HOT = 1024
 #: Offsets in such a range.
 RANGE = 16
+#: Rows of shards that are merged at once (more only if one key has more), and texts that are cut at once.
+ROWS, TEXTS = 2048, 256
 #: Bytes of a text that are hashed at once.
 CHUNK = 4 << 20
 
@@ -89,7 +91,7 @@ def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
     """From (text_hash, text): a row for each anchor with its starts and a hash of all bytes they reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(lo, 8 * TEXTS) for x in batches for lo in range(0, len(x), 8 * TEXTS)):
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for of, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
                 if len(text) < length:
@@ -155,17 +157,24 @@ def merge_shards(shards: DataFrame, length: int) -> DataFrame:
                 first, last = found[new], found[np.append(new[1:], len(found)) - 1]
                 yield pa.RecordBatch.from_arrays([pa.array(of[row[first]]), pa.array(base[row[first]] + offset[first], pa.int64()), pa.array(base[row[first]] + offset[last], pa.int64())], ["text_hash", "first", "last"])
 
+        def portions(rows: pa.Table) -> Iterator[pa.Table]:
+            """Runs of whole keys of about ROWS rows; the last one's key may go on."""
+            key, lo = np.asarray(rows["key"]), 0
+            borders = np.flatnonzero(np.diff(key)) + 1
+            while lo < len(key):
+                at = int(np.searchsorted(borders, lo + ROWS))
+                hi = int(borders[at]) if at < len(borders) else len(key)
+                yield rows.slice(lo, hi - lo)
+                lo = hi
+
         for b in batches:
             held.append(b)
-            rows = pa.Table.from_batches(held)
-            if rows.nbytes > 4 << 20:
-                key = np.asarray(rows["key"])
-                cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
-                if cut:
-                    yield from solved(rows.slice(0, cut))
-                    held = rows.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield from solved(pa.Table.from_batches(held))
+            *whole, rest = portions(pa.Table.from_batches(held)) if sum(map(len, held)) > ROWS else [pa.Table.from_batches(held)]
+            for x in whole:
+                yield from solved(x)
+            held = rest.combine_chunks().to_batches() if whole else held
+        for x in portions(pa.Table.from_batches(held)) if held else ():
+            yield from solved(x)
 
     return shards.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "text_hash long, first long, last long")
 
@@ -195,7 +204,7 @@ def repeated_ranges(texts: DataFrame, length: int, hot: int = HOT) -> DataFrame:
     cut = _only(texts, wanted).dropDuplicates(["text_hash"]).join(listed, "text_hash")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(lo, TEXTS) for x in batches for lo in range(0, len(x), TEXTS)):
             out: list[tuple] = []
             for of, text, places in zip(b.column(0).to_pylist(), b.column(1).cast(pa.large_binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for p in places:
@@ -212,7 +221,7 @@ def repeated_ranges(texts: DataFrame, length: int, hot: int = HOT) -> DataFrame:
                         key = xxhash.xxh64_intdigest(core, (p["anchor"] + back // RANGE) & (2**64 - 1))
                         out.append((key - (1 << 64) if key >> 63 else key, of, begin, back, take, text[begin : begin + take - 1 + length]))
                         begin, back, n = begin + take, back - take, n - take
-                if len(out) > 20_000:
+                if len(out) > 4096:
                     yield _shard_batch(out)
                     out = []
             if out:
