@@ -29,6 +29,8 @@ from lakemill.llm.common import give_back, scratch
 
 #: Stored for a null document id.
 NULL_ID = -(2**63)
+#: Chunks whose ids an encoder keeps, at most: the first it meets, so mostly common ones. About 300 bytes each.
+KEPT = 150_000
 #: Bytes of text whose distinct chunks are looked up at once.
 SLICE = 24 << 20
 #: Chunks that are encoded at once, and chunks of whole texts that are turned into ids at once.
@@ -46,7 +48,7 @@ class ChunkEncoder:
     Right for tokenizers that drop white space between their pre-tokens, as no token then spans a chunk's border; a
     probe finds whether one does, and any other gets its texts whole. Probes also find whether ASCII letters may be
     lowered first and whether a word and the comma or full stop behind it may be encoded apart, without normaliser.
-    Nothing is kept from slice to slice, so memory is bounded.
+    Of earlier slices only KEPT chunks are kept, so memory is bounded.
     """
 
     def __init__(self, path: str):
@@ -55,6 +57,7 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.kept: dict[str, bytes] = {}
         probe = "ab, cd\n\tef  1 2.\r\n"
         self.chunked = self._whole([probe])[0] == b"".join(self._whole(probe.split()))
         self.lowers = self.chunked and self._whole(["QÉ A"]) == self._whole(["qÉ a"])
@@ -119,12 +122,13 @@ class ChunkEncoder:
 
     def _known(self, chunks: list[str]) -> list[bytes]:
         """The ids of distinct chunks."""
-        got: list[bytes] = [b""] * len(chunks)
+        got = [*map(self.kept.get, chunks)]
         plain: list[tuple[int, str, str]] = []
-        rest = range(len(chunks))
+        missing = rest = [k for k, x in enumerate(got) if x is None]
         if self.apart:
             rest = []
-            for k, x in enumerate(chunks):
+            for k in missing:
+                x = chunks[k]
                 stop = x[-1:] if x[-1:] in ",." else ""
                 letters = x[: len(x) - len(stop)]
                 if PLAIN(letters):
@@ -135,6 +139,8 @@ class ChunkEncoder:
                 got[k] = x + self.stops[stop]
         for k, x in zip(rest, self._whole([chunks[k] for k in rest]), strict=True):
             got[k] = x
+        for k in missing[: KEPT - len(self.kept)]:
+            self.kept[chunks[k]] = got[k]
         return got
 
 
