@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,11 +47,36 @@ class ApproximationFile:
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products of all rows: by floating point while sums stay below 2 ** 53."""
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if top < 2**53:
-        return (a.astype(float) @ b.T.astype(float)).astype(np.int64)
-    if top >= 2**63:
-        raise OverflowError("scores exceed 64 bits")
-    return a @ b.T
+    return (a.astype(float) @ b.T.astype(float)).astype(np.int64) if top < 2**53 else a @ b.T
+
+
+def _large(vectors: np.ndarray) -> np.ndarray:
+    """Whether a vector has a component so large that products of two such vectors, or their bounds, might leave 64 bits."""
+    return (np.abs(vectors.astype(float)) > math.isqrt(2**60 // max(vectors.shape[1], 1))).any(1)
+
+
+def _search_large(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """As ``search_block``, by integers of any size; scores beyond 64 bits are held at their limits."""
+    exact = vectors.astype(object)
+    for row, query in enumerate(queries.astype(object)):
+        scores = np.clip(exact @ query, -(2**63), 2**63 - 1).astype(np.int64)
+        mine = np.flatnonzero(query_ids[row] != ids)
+        # ~x turns the order of all 64-bit numbers round, -x not that of the least
+        mine = mine[np.lexsort((ids[mine], ~scores[mine]))[:k]]
+        yield row, ids[mine], scores[mine]
+
+
+def search_all(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query's row, vec_ids, scores) of the k best of each query among usual and among large vectors; a query may come twice."""
+    ways = {False: search_block, True: _search_large}
+    wide, asked = _large(vectors), _large(queries)
+    for large_query in (False, True):
+        rows = np.flatnonzero(asked == large_query)
+        parts = [np.arange(len(ids))] if large_query else [np.flatnonzero(~wide), np.flatnonzero(wide)]
+        for part in (x for x in parts if len(x) and len(rows)):
+            way = ways[large_query or bool(wide[part].any())]
+            for row, found, scores in way(ids[part], vectors[part], query_ids[rows], queries[rows], k):
+                yield int(rows[row]), found, scores
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -83,7 +109,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int
 
     Components become floor(scale * x). Vectors that are null or hold a null or non-finite component take no part;
     ids too if null. A query meets vectors of its own length only. Ties go to the smaller id; repeated rows each
-    count. The queries are a table in the shared folder that every task reads in blocks, so neither side is
+    count. Components and scores beyond 64 bits are held at its limits. The queries are a table in the shared folder that every task reads in blocks, so neither side is
     collected or joined; a task keeps k rows a query, which are ranked per query then. No vectors or queries: no rows.
     """
     clean = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), scaled(F.col(vector_col), scale).alias("vector")).filter("vec_id is not null and vector is not null")
@@ -115,7 +141,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int
             if not len(at):
                 continue
             asked = np.asarray([values[x] for x in at], np.int64).reshape(len(at), n)
-            found = [(np.full(len(x), q_ids[at[row]]), x, s) for row, x, s in search_block(ids, vectors, q_ids[at], asked, k)]
+            found = [(np.full(len(x), q_ids[at[row]]), x, s) for row, x, s in search_all(ids, vectors, q_ids[at], asked, k)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 
     rows = clean(vectors)
