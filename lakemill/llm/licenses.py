@@ -25,12 +25,26 @@ TEMPLATES = (
     ("Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
 #: Phrases that tell a license from its relatives. A match must hold those of its license that its template holds, word for word.
 DECIDING = {
     "Apache-2.0": ("apache license version 2 0", "licenses license 2 0"),
     "GPL-3.0": ("gnu general public license", "public license version 3", "version 3 of the license"),
+    "GPL-2.0": ("gnu general public license", "public license version 2", "version 2 of the license"),
+    "AGPL-3.0": ("gnu affero general public license", "version 3 of the license"),
+    "LGPL-3.0": ("gnu lesser general public license", "version 3 of the license"),
+    "MPL-2.0": ("mozilla public license v 2 0",),
+    "ISC": ("with or without fee",),
+    "CC0-1.0": ("waived all copyright",),
     "CC-BY-4.0": ("cc by 4 0",),
     "CC-BY-NC-4.0": ("cc by nc 4 0",),
     "CC-BY-SA-4.0": ("cc by sa 4 0",),

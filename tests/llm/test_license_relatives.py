@@ -13,10 +13,17 @@ CASES = [
     ("Licensed under CC BY 4.0. Images: licensed under CC BY-NC 4.0.", {"CC-BY-4.0", "CC-BY-NC-4.0"}),
     ("Licensed under CC BY-NC-SA 4.0.", set()),
     (GNU.format("GNU General Public License", 3), {"GPL-3.0"}),
-    (GNU.format("GNU General Public License", 2), set()),
-    (GNU.format("GNU Affero General Public License", 3), set()),
-    (GNU.format("GNU Lesser General Public License", 3), set()),
-    ("This work is licensed under the GNU General Public License, version 2.", set()),
+    (GNU.format("GNU General Public License", 2), {"GPL-2.0"}),
+    (GNU.format("GNU Affero General Public License", 3), {"AGPL-3.0"}),
+    (GNU.format("GNU Lesser General Public License", 3), {"LGPL-3.0"}),
+    (GNU.format("GNU Affero General Public License", 2), set()),
+    ("This work is licensed under the GNU General Public License, version 2.", {"GPL-2.0"}),
+    ("This work is licensed under the GNU General Public License, version 4.", set()),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", {"MPL-2.0"}),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", set()),
+    ("To the extent possible under law, the editors have waived all copyright and related or neighboring rights to this work.", {"CC0-1.0"}),
+    ("This is free and unencumbered software released into the public domain.", {"Unlicense"}),
+    (next(t for n, t in TEMPLATES if n == "ISC"), {"ISC"}),
     ("Licensed under the Apache License, Version 2.0.", {"Apache-2.0"}),
     (OPENING + " 1. Source code must retain the notice. 2. Binaries must reproduce it.", {"BSD"}),
     (OPENING + " 1. Source code must retain the notice. 3. " + CLAUSE, {"BSD", "BSD-3-Clause"}),
