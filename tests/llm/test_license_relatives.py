@@ -36,3 +36,32 @@ def test_relatives(spark):
     for x in license_scan(table).collect():
         got[x["doc_id"]].add(x["license"])
     assert got == {i: want for i, (_, want) in enumerate(CASES)}
+
+
+def test_recall_of_edited_notices(spark):
+    """Notices with some words changed at random: of the pairs that brute force finds by containment and phrases, nearly all are found."""
+    import random
+    import re
+
+    from lakemill.llm.licenses import DECIDING
+
+    rng, split = random.Random(3), lambda t: re.findall(r"[^\W_]+", t.lower())
+    pairs = lambda w: {tuple(w[i : i + 2]) for i in range(len(w) - 1)}
+    texts = []
+    for k in range(400):
+        notice = split(TEMPLATES[k % len(TEMPLATES)][1])
+        for _ in range(rng.randrange(3)):
+            notice[rng.randrange(len(notice))] = f"edit{rng.randrange(1000)}"
+        filler = lambda: [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(40))]
+        texts.append(" ".join([*filler(), *notice, *filler()]))
+    want = set()
+    for i, text in enumerate(texts):
+        words = split(text)
+        for t, (name, notice) in enumerate(TEMPLATES):
+            held = pairs(split(notice))
+            phrases = [p for p in DECIDING.get(name, ()) if f" {p} " in f" {' '.join(split(notice))} "]
+            if 100 * len(held & pairs(words)) >= 80 * len(held) and all(f" {p} " in f" {' '.join(words)} " for p in phrases):
+                want.add((i, t))
+    got = {(x["doc_id"], x["template"]) for x in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    print(len(want), len(want & got) / len(want))
+    assert len(want) > 150 and got <= want and len(want & got) >= 0.95 * len(want)
