@@ -8,6 +8,7 @@ import ctypes
 import shutil
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,29 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-#: Open scopes of ``dropped``: the paths made in each.
-_scopes: list[list[str]] = []
+#: Open scopes of this thread or context, innermost last: the paths made in each. Queries side by side don't share them.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scratch scopes", default=())
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder. Outside of ``dropped`` it stays until the folder is cleaned, as lazy results read it."""
+    """A new path in the shared folder. Outside of all scopes it stays until the folder is cleaned, as lazy results read it."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    if open_ := _scopes.get():
+        open_[-1].append(path)
     return path
 
 
-@contextlib.contextmanager
-def scratch_paths():
-    """A scope that lists the scratch tables made in it, for a caller who knows when they are read no more."""
-    made: list[str] = []
-    _scopes.append(made)
-    try:
-        yield made
-    finally:
-        _scopes.pop()
-
-
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
@@ -60,25 +50,29 @@ def delete(spark: SparkSession, path: str) -> None:
 @contextlib.contextmanager
 def dropped(spark: SparkSession):
     """A scope whose scratch tables are deleted at its end; what the given function stages outlives it."""
-    _scopes.append([])
-    try:
-        yield lambda df, label: _outside(df, label)
-    finally:
-        for path in _scopes.pop():
-            delete(spark, path)
+    outer, made = _scopes.get(), []
+    inside = _scopes.set((*outer, made))
 
+    def outlive(df: DataFrame, label: str) -> DataFrame:
+        path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        if outer:
+            outer[-1].append(path)
+        return _written(df, path)
 
-def _outside(df: DataFrame, label: str) -> DataFrame:
-    own = _scopes.pop()
     try:
-        return staged(df, label)
+        yield outlive
     finally:
-        _scopes.append(own)
+        _scopes.reset(inside)
+        for path in made:
+            delete(spark, path)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, label)
+    return _written(df, scratch(df.sparkSession, label))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
