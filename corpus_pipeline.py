@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.llm import mixing, neardup, packing, quality, queries, suffixes
-from lakemill.llm.common import delete, scratch_paths, staged
+from lakemill.llm.common import dropped, staged
 
 #: Rows up to which the list of removed near copies (24 bytes each) is broadcast, so no text is shuffled; else it is joined.
 GONE = 500_000
@@ -68,35 +66,12 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, queries.tokenizer())
 
 
-#: Scratch tables of the last two stages that ran. A stage's result is written before the next one runs, so those of the
-#: stage before the last are read no more.
-_made: list[list[str]] = []
-
-
-def _stage(function):
-    """``function`` with scratch tables of a bounded life: they are deleted when the second stage after it begins."""
-
-    @functools.wraps(function)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while len(_made) > 1:
-            for path in _made.pop(0):
-                delete(spark, path)
-        with scratch_paths() as made:
-            _made.append(made)
-            return function(spark, docs, sf_dir)
-
-    return run_stage
-
-
 STAGES = [
-    (name, _stage(function))
-    for name, function in (
-        ("quality_rules", quality_rules),
-        ("near_duplicates", near_duplicates),
-        ("suffix_dedup", repeated_passages),
-        ("mixing", mixing_weights),
-        ("packing", sequences),
-    )
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("suffix_dedup", repeated_passages),
+    ("mixing", mixing_weights),
+    ("packing", sequences),
 ]
 
 #: No SQL: near duplicates, byte-wise removal and token ids can't be expressed in it.
@@ -104,7 +79,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages one after the other. Each one's scratch tables go when its result is written; the last one's stay, as its result reads them."""
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with dropped(spark) as outlive:
+            docs = outlive(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
