@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
 URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -82,8 +83,28 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2).drop("node", "text_hash")
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakemill.llm.turns import repair_digests
+
+    return repair_digests(table(spark, sf_dir, "conversations"))
+
+
+def op12_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakemill.llm.audio import media_digests
+
+    found = media_digests(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lakemill.llm.negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    x.__name__: x for x in (op1_token_files, op2_html_text, op3_quality_rules, op4_mixing, op5_repeats, op6_packing, op7_top_k, op8_url_filter, op9_licenses, op10_near_duplicates)
+    x.__name__: x for x in (op1_token_files, op2_html_text, op3_quality_rules, op4_mixing, op5_repeats, op6_packing, op7_top_k, op8_url_filter, op9_licenses, op10_near_duplicates, op11_repair, op12_audio, op13_hard_negatives)
 }
 
 _RULES = """
@@ -140,5 +161,25 @@ with vectors as (
 select query_id, cast(rank as int) as rank, vec_id, score from ranked where rank <= 10
 """
 
+_NEGATIVES = """
+with vectors as (
+  select vec_id, case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+  where vec_id is not null and label is not null and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), pairs as (
+  select a.vec_id as anchor_id, c.vec_id, a.label = c.label as alike, cast(list_dot_product(a.v, c.v) as bigint) as score
+  from vectors a join vectors c on a.vec_id % 100 = 0 and a.vec_id <> c.vec_id and len(a.v) = len(c.v)
+), near as (
+  select anchor_id, vec_id as positive_id, score as positive_score from pairs where alike
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+), ranked as (
+  select n.anchor_id, n.positive_id, p.vec_id as negative_id, n.positive_score, p.score as negative_score,
+    row_number() over (partition by n.anchor_id, n.positive_id order by p.score desc, p.vec_id) as rank
+  from near n join pairs p on n.anchor_id = p.anchor_id and not p.alike
+    and 30 * n.positive_score <= 100 * p.score and 100 * p.score <= 90 * n.positive_score
+)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from ranked where rank <= 10
+"""
+
 #: SQL of the queries that it can express. Others need hashes, tokenizers, forests or trees that it lacks.
-ORACLES: dict[str, str] = {"op3_quality_rules": _RULES, "op7_top_k": _TOP_K}
+ORACLES: dict[str, str] = {"op3_quality_rules": _RULES, "op7_top_k": _TOP_K, "op13_hard_negatives": _NEGATIVES}
