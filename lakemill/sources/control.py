@@ -1,6 +1,6 @@
 """Control tables: the work queue and statistics of runs."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -21,6 +21,30 @@ def run_statistics(executions: DataFrame, run: str, app: str, minutes: str) -> D
     )
 
 
+def boundary_minutes(start: str, end: str) -> Column:
+    """Minute boundaries between two times, as SQL's datediff counts them: 1 from :50 to the next minute's :10."""
+    minute = lambda c: F.unix_seconds(F.date_trunc("minute", F.col(c).cast("timestamp")))
+    return F.try_divide(minute(end) - minute(start), F.lit(60)).cast("long")
+
+
+def load_run_statistics(executions: DataFrame) -> DataFrame:
+    """A run's times, minutes of its executions, volume, apps, empty loads and failures.
+
+    ``executions``: run_id, app_id, execution_start_time, execution_end_time, retrieved, execution_status. Executions
+    that haven't ended have no minutes; they count as running, not as failed.
+    """
+    rows = executions.withColumn("__m", boundary_minutes("execution_start_time", "execution_end_time"))
+    status, q = F.col("execution_status"), lambda p: F.percentile("__m", F.lit(p))
+    mean = F.avg(F.col("__m").cast("decimal(10,2)")).cast("decimal(10,2)")
+    out = rows.groupBy("run_id").agg(
+        F.min("execution_start_time").alias("run_start_time"), F.max("execution_end_time").alias("run_end_time"),
+        F.min("__m").alias("min_duration"), q(0.25).alias("p25_duration"), mean.alias("avg_duration"), q(0.75).alias("p75_duration"), F.max("__m").alias("max_duration"),
+        F.sum("retrieved").alias("retrieved"), F.count_distinct("app_id").alias("processed_apps"),
+        F.count_if(status == "empty").alias("empty_loads"), F.count_if(~status.isin("success", "empty", "in-progress")).alias("failed_executions"),
+    )
+    return out.withColumn("run_duration", boundary_minutes("run_start_time", "run_end_time"))
+
+
 def work_queue(orchestrator: DataFrame, executions: DataFrame) -> DataFrame:
     """Loads with their priority, last execution, high-water mark and the cursor to go on from.
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,37 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     return (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(path)
 
 
+def largest_folder(spark: SparkSession, folders: list[str]) -> str:
+    """The landing folder of the most bytes, the first by name among equals."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def size(folder: str) -> int:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        return path.getFileSystem(conf).getContentSummary(path).getLength()
+
+    return min(folders, key=lambda x: (-size(x), x))
+
+
+def read_landed(spark: SparkSession, folders: list[str], rescued: str = "_rescued") -> DataFrame:
+    """Multi-line JSON of many folders by the schema of the largest one, which alone is read to infer it.
+
+    Fields that this schema lacks are kept: ``rescued`` is a JSON object of them, NULL where there are none. Values that
+    don't fit their type are NULL and kept there too, as they were. Top-level fields only; no folders: an error.
+    """
+    reader = spark.read.option("multiLine", True)
+    schema = reader.json(largest_folder(spark, folders)).schema
+    texts = spark.read.text(folders, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
+    one = F.filter(F.array(F.try_parse_json("value")), lambda v: v.isNotNull())  # a file of one object
+    records = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<variant>")).otherwise(one)
+    rows = texts.select("_file", F.explode(records).alias("v")).select("_file", F.to_json("v").alias("j"))
+    known = F.from_json("j", schema)
+    fields = F.from_json("j", "map<string,string>")
+    types = {f.name: f.dataType for f in schema}
+    lost = lambda k, v: ~F.array_contains(F.array(*(F.lit(x) for x in types)), k) | F.exists(F.array(*(F.struct(F.lit(x).alias("k"), known[x].isNull().alias("null")) for x in types)), lambda t: (t["k"] == k) & t["null"] & v.isNotNull())
+    kept = F.map_filter(fields, lost)
+    return rows.select(known.alias("r"), F.when(F.size(kept) > 0, F.to_json(kept)).alias(rescued), "_file").select("r.*", rescued, "_file")
+
+
 def read_sampled(spark: SparkSession, paths: list[str], ratio: float = 0.1) -> DataFrame:
     """JSON whose schema is inferred from a share of the rows; fields that only others have are left out."""
     return spark.read.option("samplingRatio", ratio).json(paths)
@@ -77,6 +109,31 @@ class Progress:
         self.table.upsert(row.withColumn("hash", F.sha2(F.concat_ws("|", "consumer", "version", "run_id"), 256)), ["consumer"], "hash")
 
 
+class VersionControl:
+    """Control rows of a load's commits: what changed, how many rows, up to which source version, and the commit in full as notes."""
+
+    SCHEMA = "table_name string, run_id string, change_type string, commit_version long, commit_timestamp timestamp, rows_inserted long, rows_updated long, latest_source_version long, audit_notes string"
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.table = spark, LakeTable(spark, path)
+
+    def insert(self, table: LakeTable, run_id: str, source_version: int, notes: dict | None = None) -> None:
+        """A row for the latest commit of ``table``."""
+        entry = table._known()
+        metrics = entry["metrics"]
+        told = json.dumps({"operation": entry["operation"], "version": entry["version"], "timestamp": entry["timestamp"], "operationMetrics": metrics, **(notes or {})}, sort_keys=True)
+        row = (table.path, run_id, entry["operation"], entry["version"], datetime.fromtimestamp(entry["timestamp"], timezone.utc), metrics.get("inserted", 0), metrics.get("updated", 0), source_version, told)
+        self.table.append(self.spark.createDataFrame([row], self.SCHEMA))
+
+    def rows(self) -> DataFrame:
+        return self.table.read() if self.table.version() >= 0 else self.spark.createDataFrame([], self.SCHEMA)
+
+    def latest_source_version(self, table: str) -> int:
+        """The greatest source version that a commit of ``table`` has read; -1 if there is none."""
+        found = self.rows().filter(F.col("table_name") == table).agg(F.max("latest_source_version")).first()[0]
+        return -1 if found is None else found
+
+
 class _Page(InputPartition):
     def __init__(self, start: int, size: int):
         super().__init__((start, size))
