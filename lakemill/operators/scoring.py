@@ -1,15 +1,23 @@
 """Influence of reviews inside their game and the scores of games."""
 
+from __future__ import annotations
+
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lakemill.functions.measures import log_ratio, share, shrink, tier, volume_label, weighted_mean
+from lakemill.operators.ranks import HOT, hot_keys, window_rank, with_counted_ranks
+from lakemill.sources.shared import shared_dir, staged
 
 # Weights of the signals.
 COMMUNITY = {"votes_up": 0.45, "votes_funny": 0.20, "comment_count": 0.25, "reaction_count": 0.10}
 W_COMMUNITY, W_LENGTH, W_EMOTIONAL, W_PLAYTIME, W_SENTIMENT = 1.5, 0.5, 0.3, 1.0, 1.0
 
+#: Parts that the maxima of a crowded game are first taken over.
+SALTS = 64
 #: Measures of games that a rollup weighs by sentiment reviews, and by reviews.
 BY_SENTIMENT = ("pct_positive", "pct_neutral", "pct_negative", "alignment", "sentiment_rating")
 BY_REVIEWS = ("pct_early_access", "pct_bug_reports", "pct_refunded", "weighted_vote_rating", "vote_rating")
@@ -26,12 +34,31 @@ def group_stats(reviews: DataFrame, salt: int = 1, key: str = "game_key") -> Dat
     return out.withColumn("avg_playtime", F.col("__sum") / F.col("__n")).drop("__sum", "__n")
 
 
-def influence(reviews: DataFrame) -> DataFrame:
-    """Adds signals, directions and the influence score. Group maxima share the window of the percent rank: one shuffle."""
+def influence(reviews: DataFrame, hot: int = HOT) -> DataFrame:
+    """Adds signals, directions and the influence score.
+
+    Group maxima share the window of the percent rank: one shuffle by game. Games of more than ``hot`` reviews are left out
+    of it: their maxima are summed up in two phases and their ranks are counted over ranges, so no task gets such a game.
+    """
+    stats = [*(f"max_{c}" for c in COMMUNITY), "max_review_length", "avg_playtime"]
+    # written down, so the optimizer sees how small it is
+    crowded = staged(hot_keys(reviews, "game_key", hot), f"{shared_dir(reviews.sparkSession)}/hot-games-{uuid.uuid4().hex}")
+    if crowded.isEmpty():
+        return _influence(_windowed(reviews)).drop(*stats)
+    few, many = (reviews.join(crowded, "game_key", how) for how in ("left_anti", "left_semi"))
+    many = with_counted_ranks(many.join(group_stats(many, SALTS), "game_key"), "game_key", "playtime", "playtime_signal")
+    rows = _windowed(few)
+    return _influence(rows.unionByName(many.select(*rows.columns))).drop(*stats)
+
+
+def _windowed(reviews: DataFrame) -> DataFrame:
     game = W.partitionBy("game_key")
     tops = {f"max_{c}": F.max(c).over(game) for c in COMMUNITY}
     tops["max_review_length"] = F.max(F.when(F.col("has_credible_text"), F.col("review_length"))).over(game)
-    rows = reviews.withColumns({**tops, "avg_playtime": F.avg("playtime").over(game), "playtime_signal": F.percent_rank().over(game.orderBy("playtime"))})
+    return reviews.withColumns({**tops, "avg_playtime": F.avg("playtime").over(game), "playtime_signal": window_rank("game_key", "playtime")})
+
+
+def _influence(rows: DataFrame) -> DataFrame:
     credible, eligible, vote = F.col("has_credible_text"), F.col("is_eligible"), F.when(F.col("voted_up"), 1).otherwise(-1)
     community = sum((w * log_ratio(F.col(c), F.col(f"max_{c}")) for c, w in COMMUNITY.items()), F.lit(0.0))
     rows = rows.withColumns({
@@ -51,32 +78,37 @@ def influence(reviews: DataFrame) -> DataFrame:
         (gated(F.col("avg_playtime") > 0, W_PLAYTIME), F.col("playtime_signal")), (gated(eligible, W_SENTIMENT), F.col("sentiment_signal")),
     ]
     top = sum((w * F.coalesce(s, F.lit(0.0)) for w, s in terms), F.lit(0.0))
-    return rows.withColumn("influence", top / sum((w for w, _ in terms), F.lit(0.0))).drop(*tops, "avg_playtime")
+    return rows.withColumn("influence", top / sum((w for w, _ in terms), F.lit(0.0)))
+
+
+def game_sums(scored: DataFrame) -> DataFrame:
+    """Counts, shares, means and sums of influence of each game: all that scores and priors need of reviews, a row a game."""
+    w, c = F.col("influence"), F.col("compound")
+    return scored.groupBy("game_key").agg(
+        F.count("*").alias("total_reviews"), F.count("sentiment_direction").alias("sentiment_reviews"),
+        share(c >= 0.05).alias("pct_positive"), share(c <= -0.05).alias("pct_negative"), share((c > -0.05) & (c < 0.05)).alias("pct_neutral"),
+        F.sum(w).alias("sum_influence"), F.sum(F.col("sentiment_direction") * w).alias("sum_sentiment"), F.sum(F.col("vote_direction") * w).alias("sum_vote"),
+        share(F.col("voted_up")).alias("pct_voted_up"), F.avg("playtime").alias("avg_playtime"), F.avg("emotional_intensity").alias("avg_emotional_intensity"),
+        share(F.col("early_access")).alias("pct_early_access"), share(F.col("bug_report")).alias("pct_bug_reports"), share(F.col("refunded")).alias("pct_refunded"), F.avg("word_count").alias("avg_word_count"),
+    )
 
 
-def priors(scored: DataFrame, games: DataFrame) -> DataFrame:
-    """One row: priors of sentiment and vote over all reviews, and of the external rating."""
-    w = F.col("influence")
-    mean = lambda c: (weighted_mean(F.coalesce(F.col(c), F.lit(0)), w) + 1) / 2
-    ours = scored.agg(mean("sentiment_direction").alias("sentiment_prior"), mean("vote_direction").alias("vote_prior"))
+def priors(sums: DataFrame, games: DataFrame) -> DataFrame:
+    """One row: priors of sentiment and vote over all reviews, from the sums of their games, and of the external rating."""
+    mean = lambda c: (F.sum(c) / F.nullif(F.sum("sum_influence"), F.lit(0)) + 1) / 2
+    ours = sums.agg(mean("sum_sentiment").alias("sentiment_prior"), mean("sum_vote").alias("vote_prior"))
     theirs = games.filter("rating > 0").agg((F.avg("rating") / 100).alias("rating_prior"))
     return ours.crossJoin(theirs)  # one row each
 
 
-def game_scores(scored: DataFrame, games: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Scores of rated games: shares, influence-weighted means, shrunk ratings in percent, tiers and a label.
+def game_scores(sums: DataFrame, games: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Scores of rated games from ``game_sums``: shares, influence-weighted means, shrunk ratings in percent, tiers and a label.
 
     ``games``: game_key, rating (0 to 100), rating_count. ``known`` overrides the priors.
     """
-    prior = F.broadcast(known if known is not None else priors(scored, games))
-    w, c = F.col("influence"), F.col("compound")
-    stats = scored.groupBy("game_key").agg(
-        F.count("*").alias("total_reviews"), F.count("sentiment_direction").alias("sentiment_reviews"),
-        share(c >= 0.05).alias("pct_positive"), share(c <= -0.05).alias("pct_negative"), share((c > -0.05) & (c < 0.05)).alias("pct_neutral"),
-        weighted_mean(F.col("sentiment_direction"), w).alias("weighted_sentiment"), weighted_mean(F.col("vote_direction"), w).alias("weighted_vote"),
-        share(F.col("voted_up")).alias("pct_voted_up"), F.avg("playtime").alias("avg_playtime"), F.avg("emotional_intensity").alias("avg_emotional_intensity"),
-        share(F.col("early_access")).alias("pct_early_access"), share(F.col("bug_report")).alias("pct_bug_reports"), share(F.col("refunded")).alias("pct_refunded"), F.avg("word_count").alias("avg_word_count"),
-    )
+    prior = F.broadcast(known if known is not None else priors(sums, games))
+    whole = F.nullif(F.col("sum_influence"), F.lit(0))
+    stats = sums.withColumns({"weighted_sentiment": F.col("sum_sentiment") / whole, "weighted_vote": F.col("sum_vote") / whole}).drop("sum_influence", "sum_sentiment", "sum_vote")
     rated = games.filter("coalesce(rating, 0) > 0 and coalesce(rating_count, 0) > 0")
     rows = rated.join(stats, "game_key", "left").crossJoin(prior)
     half = lambda x: (F.col(x) + 1) / 2

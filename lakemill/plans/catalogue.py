@@ -12,9 +12,10 @@ from lakemill.functions.measures import playtime_bucket, sentiment_label
 from lakemill.functions.sentiment import sentiment
 from lakemill.functions.text import clean_text, demojize, quality_features
 from lakemill.operators.cleaning import dedup_latest, null_sentinels, top_per_group
-from lakemill.operators.scoring import BY_REVIEWS, BY_SENTIMENT, game_scores, group_stats, influence, member_rollup
+from lakemill.operators.scoring import BY_REVIEWS, BY_SENTIMENT, group_stats, member_rollup
 from lakemill.plans import proxy
 from lakemill.plans.proxy import table
+from lakemill.plans.views import VIEWS
 from lakemill.sources import control
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,11 +97,11 @@ _R = lambda *names: ", ".join(f"round({x}, {8 if x == 'avg_playtime' else 6}) as
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return influence(proxy.reviews(spark, sf_dir))
+    return VIEWS.get(spark, sf_dir, "scored")
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return game_scores(_scored(spark, sf_dir), proxy.games(spark, sf_dir))
+    return VIEWS.get(spark, sf_dir, "scores")
 
 
 @query(f"with {_SCORES} select game_key, game_name, rating_count, total_reviews, sentiment_reviews, {_R(*_DOUBLES)}, external_tier, sentiment_tier, vote_tier, label from scores")
@@ -301,6 +302,27 @@ def run_statistics(spark, sf_dir):
     return rounded(control.run_statistics(table(spark, sf_dir, "events"), "event_type", "user_id", "value"))
 
 
+_EXECUTIONS = """executions as (
+  select event_type as run_id, user_id as app_id, ts as execution_start_time, ts + to_seconds(cast(event_id % 977 as bigint) * 11) as execution_end_time, cast(floor(value) as bigint) as retrieved,
+    case event_id % 5 when 0 then 'empty' when 1 then 'failed' when 2 then 'in-progress' when 3 then 'timeout' else 'success' end as execution_status from events
+), timed as (select *, date_diff('minute', execution_start_time, execution_end_time) as m from executions)"""
+
+
+@query(f"""with {_EXECUTIONS} select run_id, min(execution_start_time) as run_start_time, max(execution_end_time) as run_end_time, min(m) as min_duration, round(quantile_cont(m, 0.25), 6) as p25_duration,
+  cast((200 * sum(m) + count(m)) // (2 * count(m)) as double) / 100 as avg_duration, round(quantile_cont(m, 0.75), 6) as p75_duration, max(m) as max_duration, cast(sum(retrieved) as bigint) as retrieved,
+  count(distinct app_id) as processed_apps, count(*) filter (where execution_status = 'empty') as empty_loads, count(*) filter (where execution_status not in ('success', 'empty', 'in-progress')) as failed_executions,
+  date_diff('minute', min(execution_start_time), max(execution_end_time)) as run_duration from timed group by run_id""")
+def load_run_statistics(spark, sf_dir):
+    """Executions from events: a run for each type, ended after up to three hours, with a status by number."""
+    k = F.col("event_id") % 5
+    status = F.when(k == 0, "empty").when(k == 1, "failed").when(k == 2, "in-progress").when(k == 3, "timeout").otherwise("success")
+    start = F.col("ts").cast("timestamp")
+    end = F.timestamp_micros(F.unix_micros(start) + (F.col("event_id") % 977) * 11_000_000)
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("run_id"), F.col("user_id").alias("app_id"), start.alias("execution_start_time"), end.alias("execution_end_time"), F.floor("value").cast("long").alias("retrieved"), status.alias("execution_status"))
+    found = control.load_run_statistics(rows).withColumn("avg_duration", F.col("avg_duration").cast("double"))
+    return rounded(found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("run_start_time", "run_end_time")}))
+
+
 @query("select user_id, event_id, event_type, high_water_mark from (select *, max(ts) over (partition by user_id) as high_water_mark, row_number() over (partition by user_id order by ts desc, event_id desc) as rn from events) where rn = 1")
 def latest_executions(spark, sf_dir):
     return control.latest_executions(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type", "high_water_mark")

@@ -1,7 +1,4 @@
-"""Analytical queries over the serving views, each said once in SQL: Spark runs it over DataFrames of the views, the oracle over the same views as CTEs.
-
-Key sets are resolved first and facts joined to them; the optimizer broadcasts them where they are small.
-"""
+"""Analytical queries of one step over the serving views, each said in SQL: Spark runs it over DataFrames of the views, the oracle over the same views as CTEs. Drilldowns are in ``drilldowns``."""
 
 from __future__ import annotations
 
@@ -9,52 +6,24 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from lakemill.functions.measures import playtime_bucket, sentiment_label
-from lakemill.plans import catalogue, proxy
+from lakemill.plans import catalogue
+from lakemill.plans.views import FACTS, VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 _LABELLED = """case when compound is null then null when compound >= 0.05 then 'Positive' when compound <= -0.05 then 'Negative' else 'Neutral' end as sentiment_label,
     case when playtime_signal >= 0.67 then 'Hardcore' when playtime_signal >= 0.34 then 'Regular' else 'Casual' end as playtime_bucket"""
-_FACTS = ("review_key", "game_key", "voted_up", "votes_up", "votes_funny", "comment_count", "reaction_count", "review_length", "word_count", "is_eligible", "has_credible_text", "bug_report", "refunded", "early_access", "review_text", "vote_direction")
-_CTES = f"""with {catalogue._SCORES},
+CTES = f"""with {catalogue._SCORES},
   genres as (select g.game_key, coalesce(m.genre, 'Unknown') as genre from games g left join ({catalogue._MEMBERS['genre']}) m using (game_key)),
   themes as (select g.game_key, coalesce(m.theme, 'Unknown') as theme from games g left join ({catalogue._MEMBERS['theme']}) m using (game_key)),
   platforms as (select g.game_key, coalesce(m.platform, 'Unknown') as platform from games g left join ({catalogue._MEMBERS['platform']}) m using (game_key)),
-  facts as (select {', '.join(_FACTS)}, game_name, round(influence, 6) as influence, round(compound, 4) as compound, round(playtime / 60, 4) as playtime_hours, {_LABELLED}
+  facts as (select {', '.join(FACTS)}, game_name, round(influence, 6) as influence, round(compound, 4) as compound, round(playtime / 60, 4) as playtime_hours, {_LABELLED}
     from scored join (select game_key, game_name from games) using (game_key)),
   loads as (select * from events), customers as (select * from customer) """
 
 
-def _bridge(spark: SparkSession, sf_dir: str, member: str) -> DataFrame:
-    """Games with their members, ``Unknown`` where there is none."""
-    return proxy.games(spark, sf_dir).select("game_key").join(proxy.members(spark, sf_dir, member), "game_key", "left").fillna("Unknown", [member])
-
-
-def fact_reviews(scored: DataFrame, games: DataFrame) -> DataFrame:
-    """The presentation of reviews: rounded, with the game's name, a playtime bucket and a sentiment label."""
-    rows = scored.join(games.select("game_key", "game_name"), "game_key")
-    return rows.select(
-        *_FACTS, "game_name", F.round("influence", 6).alias("influence"), F.round("compound", 4).alias("compound"), F.round(F.col("playtime") / 60, 4).alias("playtime_hours"),
-        sentiment_label(F.col("compound")).alias("sentiment_label"), playtime_bucket(F.col("playtime_signal")).alias("playtime_bucket"),
-    )
-
-
-_VIEWS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "games": proxy.games,
-    "scores": catalogue._scores,
-    "genres": lambda spark, sf_dir: _bridge(spark, sf_dir, "genre"),
-    "themes": lambda spark, sf_dir: _bridge(spark, sf_dir, "theme"),
-    "platforms": lambda spark, sf_dir: _bridge(spark, sf_dir, "platform"),
-    "facts": lambda spark, sf_dir: fact_reviews(catalogue._scored(spark, sf_dir), proxy.games(spark, sf_dir)),
-    "loads": lambda spark, sf_dir: proxy.table(spark, sf_dir, "events"),
-    "customers": lambda spark, sf_dir: proxy.table(spark, sf_dir, "customer"),
-}
-
-
 def _strings(sql: str, spark: bool) -> str:
     """``[[x]]``: the distinct known values of x in order, as one string."""
     known = r"nullif(\1, 'Unknown')"
@@ -65,69 +34,42 @@ def finding(name: str, sql: str) -> None:
     used = set(re.findall(r"\{(\w+)\}", sql))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(_strings(sql, True), **{x: _VIEWS[x](spark, sf_dir) for x in used})
+        return spark.sql(_strings(sql, True), **{x: VIEWS.get(spark, sf_dir, x) for x in used})
 
     QUERIES[name] = run
     body = _strings(sql, False).format(**{x: x for x in used})
-    ORACLES[name] = (_CTES.rstrip() + ", " + body.removeprefix("with ")) if body.startswith("with ") else _CTES + body
+    ORACLES[name] = (CTES.rstrip() + ", " + body.removeprefix("with ")) if body.startswith("with ") else CTES + body
 
 
 #: Reviews that a game needs to be ranked, at the volume of the test tables.
 ENOUGH = 25
-_REVIEW = "game_name, review_text, voted_up, votes_up, votes_funny, comment_count, reaction_count, playtime_hours, playtime_bucket, compound, sentiment_label, bug_report, refunded"
-_RATINGS = "round(external_rating, 4) as external_rating, round(sentiment_rating, 4) as sentiment_rating, round(weighted_vote_rating, 4) as weighted_vote_rating, round(vote_rating, 4) as vote_rating, round(alignment, 4) as alignment"
+REVIEW = "game_name, review_text, voted_up, votes_up, votes_funny, comment_count, reaction_count, playtime_hours, playtime_bucket, compound, sentiment_label, bug_report, refunded"
+RATINGS = "round(external_rating, 4) as external_rating, round(sentiment_rating, 4) as sentiment_rating, round(weighted_vote_rating, 4) as weighted_vote_rating, round(vote_rating, 4) as vote_rating, round(alignment, 4) as alignment"
 
 # serving views; hours are means of cents over 60, whose ties at the last digit go up in any engine by the small term
 finding("dim_games", "select game_key, game_name, rating, rating_count from {games}")
 for _one, _many in (("genre", "genres"), ("theme", "themes"), ("platform", "platforms")):
     finding(f"dim_{_many}", f"select md5({_one}) as {_one}_key, {_one} from (select distinct {_one} from {{{_many}}}) x where {_one} <> 'Unknown'")
     finding(f"game_{_many}", f"select distinct game_key, {_one} from {{{_many}}}")
-finding("fact_reviews", f"select review_key, game_key, influence, word_count, review_length, is_eligible, {_REVIEW} from {{facts}}")
-finding("fact_game_scores", f"""select game_key, game_name, rating_count, total_reviews, sentiment_reviews, {_RATINGS}, round(avg_playtime / 60 + 1e-9, 4) as avg_playtime_hours, cast(round(round(avg_word_count, 6), 0) as bigint) as avg_word_count,
+finding("fact_reviews", f"select review_key, game_key, influence, word_count, review_length, is_eligible, {REVIEW} from {{facts}}")
+finding("fact_game_scores", f"""select game_key, game_name, rating_count, total_reviews, sentiment_reviews, {RATINGS}, round(avg_playtime / 60 + 1e-9, 4) as avg_playtime_hours, cast(round(round(avg_word_count, 6), 0) as bigint) as avg_word_count,
   round(100 * avg_emotional_intensity, 4) as avg_emotional_intensity, round(100 * pct_positive, 4) as pct_positive, round(100 * pct_neutral, 4) as pct_neutral, round(100 * pct_negative, 4) as pct_negative,
   round(100 * pct_early_access, 4) as pct_early_access, round(100 * pct_bug_reports, 4) as pct_bug_reports, round(100 * pct_refunded, 4) as pct_refunded, external_tier, sentiment_tier, vote_tier, label from {{scores}}""")
 
 # exports
-finding("top_games_export", f"select game_key, game_name, rating_count, total_reviews, sentiment_reviews, {_RATINGS}, label, vote_tier, sentiment_tier from {{scores}} where total_reviews >= {ENOUGH} order by round(sentiment_rating, 6) desc, game_key limit 20")
+finding("top_games_export", f"select game_key, game_name, rating_count, total_reviews, sentiment_reviews, {RATINGS}, label, vote_tier, sentiment_tier from {{scores}} where total_reviews >= {ENOUGH} order by round(sentiment_rating, 6) desc, game_key limit 20")
 
 
-def _drill(name: str, order: str, keep: str = "true", first: str = "influence desc") -> None:
-    """The five best reviews of the five first games: ranked by key, then joined back to the detail."""
-    finding(name, f"""with top_games as (select game_key, row_number() over (order by {order}, game_key) as game_rank from {{scores}} where total_reviews >= {ENOUGH} order by {order}, game_key limit 5),
-      ranked as (select r.game_key as game_key, review_key, game_rank, row_number() over (partition by r.game_key order by {first}, review_key) as review_rank from {{facts}} r join top_games t on r.game_key = t.game_key where {keep})
-      select game_rank, review_rank, {_REVIEW} from ranked k join {{facts}} f on k.game_key = f.game_key and k.review_key = f.review_key where review_rank <= 5""")
-
-
-_drill("best_reviews_of_top_games", "round(sentiment_rating, 6) desc")
-_drill("misaligned_reviews", "round(alignment, 6)", "sign(compound) <> vote_direction")
-_drill("aligned_reviews", "round(alignment, 6) desc", "sign(compound) = vote_direction")
-finding("funny_reviews_of_funniest_games", f"""with funny as (select game_key, avg(votes_funny) as mean, count(distinct review_key) as n from {{facts}} group by game_key having count(distinct review_key) >= {ENOUGH}),
-  top_games as (select game_key, row_number() over (order by round(mean, 6) desc, game_key) as game_rank from funny order by round(mean, 6) desc, game_key limit 5),
-  ranked as (select r.game_key as game_key, review_key, game_rank, row_number() over (partition by r.game_key order by votes_funny desc, review_key) as review_rank from {{facts}} r join top_games t on r.game_key = t.game_key)
-  select game_rank, review_rank, game_name, review_text, voted_up, votes_funny, sentiment_label from ranked k join {{facts}} f on k.game_key = f.game_key and k.review_key = f.review_key where review_rank <= 5""")
 for _one, _many in (("genre", "genres"), ("theme", "themes")):
     _mean = "sum(sentiment_rating * sentiment_reviews) / nullif(sum(sentiment_reviews), 0)"
-    finding(f"top_games_of_top_{_many}", f"""with means as (select {_one}, round({_mean}, 6) as mean from {{scores}} s join {{{_many}}} m on s.game_key = m.game_key where {_one} <> 'Unknown' group by {_one}),
-      best as (select {_one}, row_number() over (order by mean desc, {_one}) as member_rank from means order by mean desc, {_one} limit 5),
-      member_games as (select distinct b.{_one} as {_one}, member_rank, game_key from best b join {{{_many}}} m on b.{_one} = m.{_one}),
-      ranked as (select {_one}, member_rank, s.game_key as game_key, row_number() over (partition by {_one} order by round(sentiment_rating, 6) desc, s.game_key) as game_rank from {{scores}} s join member_games m on s.game_key = m.game_key)
-      select {_one}, member_rank, game_rank, game_name, rating_count, total_reviews, {_RATINGS}, round(pct_bug_reports, 6) as pct_bug_reports from ranked r join {{scores}} s on r.game_key = s.game_key where game_rank <= 5""")
     finding(f"{_one}_alignment", f"""select {_one}, count(external_rating) as rated_games, count(total_reviews) as reviewed_games, cast(sum(total_reviews) as bigint) as total_reviews, round(sum(alignment * sentiment_reviews) / nullif(sum(sentiment_reviews), 0), 6) as alignment,
       round({_mean}, 6) as sentiment_rating, round(sum(weighted_vote_rating * total_reviews) / nullif(sum(total_reviews), 0), 6) as weighted_vote_rating from {{scores}} s join {{{_many}}} m on s.game_key = m.game_key where {_one} <> 'Unknown' group by {_one} having count(external_rating) >= 5""")
-    # the three best games of some members, all members of these games and their best review
-    finding(f"{_one}_drilldown", f"""with targets as (select distinct {_one} as picked, game_key from {{{_many}}} where {_one} in (select {_one} from (select distinct {_one} from {{{_many}}} where {_one} <> 'Unknown') x order by {_one} limit 3)),
-      ranked as (select picked, s.game_key as game_key, game_name, sentiment_rating, total_reviews, row_number() over (partition by picked order by round(sentiment_rating, 6) desc, s.game_key) as game_rank from targets t join {{scores}} s on t.game_key = s.game_key),
-      top_games as (select * from ranked where game_rank <= 3),
-      members as (select m.game_key as game_key, [[{_one}]] as members from {{{_many}}} m where m.game_key in (select game_key from top_games) group by m.game_key),
-      reviews_ as (select *, row_number() over (partition by game_key order by influence desc, review_key) as review_rank from {{facts}} where is_eligible and game_key in (select game_key from top_games))
-      select picked, game_rank, t.game_name as game_name, round(t.sentiment_rating, 4) as sentiment_rating, t.total_reviews as total_reviews, members, influence, votes_up, votes_funny, comment_count, reaction_count, playtime_hours, word_count, review_text
-      from top_games t left join members m on t.game_key = m.game_key left join (select * from reviews_ where review_rank = 1) r on t.game_key = r.game_key""")
 finding("review_sufficiency", "select case when total_reviews < 10 then 'Insufficient' else 'Sufficient' end as bucket, count(*) as games, min(total_reviews) as min_reviews, max(total_reviews) as max_reviews from {scores} group by 1")
 _VOLUME = "case when total_reviews < 100 then '0-99' when total_reviews < 1000 then '100-999' when total_reviews < 10000 then '1k-10k' when total_reviews < 100000 then '10k-100k' else '100k+' end"
 finding("volume_versus_quality", f"select {_VOLUME} as volume_bucket, count(*) as games, round(avg(sentiment_rating), 6) as avg_sentiment, round(avg(weighted_vote_rating), 6) as avg_vote from {{scores}} where total_reviews >= 10 group by 1")
 finding("volume_bucket_spread", f"""select {_VOLUME} as volume_bucket, count(*) as games, round(avg(sentiment_rating), 6) as avg_sentiment, round(avg(vote_rating), 6) as avg_vote, round(avg(alignment), 6) as avg_alignment,
   round(stddev_pop(sentiment_rating), 6) as sd_sentiment, round(stddev_pop(vote_rating), 6) as sd_vote, round(stddev_pop(alignment), 6) as sd_alignment from {{scores}} where total_reviews is not null group by 1""")
-finding("games_detail", f"select game_key, game_name, total_reviews, {_RATINGS}, label from {{scores}} where game_name in (select min(game_name) from {{games}} union all select max(game_name) from {{games}})")
+finding("games_detail", f"select game_key, game_name, total_reviews, {RATINGS}, label from {{scores}} where game_name in (select min(game_name) from {{games}} union all select max(game_name) from {{games}})")
 
 # audits of the load tables
 finding("audit_versions", "select event_id, ts, user_id, event_type from {loads} where value > 50")
@@ -137,22 +79,6 @@ finding("audit_top_apps", """with apps as (select c_custkey, c_name from {custom
   select l.user_id as app_id, l.event_type as load_type, c_name as app_name, count(distinct event_id) as executions, round(sum(value), 4) as total, min(ts) as first_on, max(ts) as last_on
   from {loads} l left join apps a on l.user_id = a.c_custkey group by l.user_id, l.event_type, c_name""")
 
-# findings
-_STRINGS = """strings as (select g.game_key as game_key, [[genre]] as genres, [[theme]] as themes from {genres} g join {themes} t on g.game_key = t.game_key where g.game_key in (select game_key from top_games) group by g.game_key)"""
-
-
-def _listed(name: str, order: str) -> None:
-    """Ten games that have a theme of some patterns, with their genres and themes as strings."""
-    finding(name, f"""with patterns as (select * from (values ('%e%'), ('%st%')) as v(pattern)),
-      kept as (select distinct game_key from {{themes}} t where exists (select 1 from patterns p where t.theme ilike p.pattern)),
-      top_games as (select * from {{scores}} where total_reviews >= {ENOUGH} and game_key in (select game_key from kept) order by {order}, game_key limit 10),
-      {_STRINGS}
-      select game_name, total_reviews, {_RATINGS}, label, genres, themes from top_games t join strings s on t.game_key = s.game_key""")
-
-
-_listed("alignment_negative_listed", "round(alignment, 6)")
-_listed("alignment_positive_listed", "round(alignment, 6) desc")
-_listed("top_sentiment_listed", "round(sentiment_rating, 6) desc")
 finding("gate_percentages", """select count(*) as total_reviews, count(case when is_eligible then 1 end) as pass_all, count(case when not is_eligible then 1 end) as fail_any, round(1e2 * count(case when not is_eligible then 1 end) / count(*), 4) as pct_fail,
   round(1e2 * count(case when not has_credible_text then 1 end) / count(*), 4) as pct_fail_credible, round(1e2 * count(case when review_length <= 100 then 1 end) / count(*), 4) as pct_fail_length,
   round(1e2 * count(case when word_count < 20 then 1 end) / count(*), 4) as pct_fail_words, count(case when review_length <= 10 then 1 end) as empty_shape, count(case when word_count <= 2 and review_length > 5 then 1 end) as degenerate_shape,
@@ -161,47 +87,20 @@ finding("degenerate_texts", """with top_rows as (select review_key, game_key, re
   select game_name, review_length, word_count, has_credible_text, is_eligible, substring(review_text, 1, 20) as snippet, review_key from top_rows t left join {games} g on t.game_key = g.game_key""")
 finding("degenerate_texts_of_game", """with picked as (select game_key, game_name from {games} where game_name ilike '%a%' and game_name not like '%zzz%' order by game_key limit 1)
   select p.game_name as game_name, review_key, review_length, word_count, substring(review_text, 1, 40) as snippet from {facts} f join picked p on f.game_key = p.game_key order by review_length desc, review_key limit 10""")
-for _name, _order in (("top_influence", "influence desc"), ("bottom_influence", "influence")):
-    finding(_name, f"with rows_ as (select review_key from {{facts}} order by {_order}, review_key limit 20) select influence, review_length, word_count, {_REVIEW} from {{facts}} where review_key in (select review_key from rows_)")
-for _name, _order in (("most_helpful_reviews", "votes_up desc, votes_funny desc"), ("longest_playtime", "playtime_hours desc"), ("playtime_tail", "playtime_hours desc, votes_up desc")):
-    finding(_name, f"with rows_ as (select review_key from {{facts}} order by {_order}, review_key limit {50 if _name == 'playtime_tail' else 10}) select review_key, word_count, review_length, substring(review_text, 1, 30) as snippet, {_REVIEW} from {{facts}} where review_key in (select review_key from rows_)")
+# the first reviews by one measure
+for _name, _order, _n, _columns in (
+    ("top_influence", "influence desc", 20, "influence, review_length, word_count"),
+    ("bottom_influence", "influence", 20, "influence, review_length, word_count"),
+    ("most_helpful_reviews", "votes_up desc, votes_funny desc", 10, "review_key, word_count, review_length, substring(review_text, 1, 30) as snippet"),
+    ("longest_playtime", "playtime_hours desc", 10, "review_key, word_count, review_length, substring(review_text, 1, 30) as snippet"),
+    ("playtime_tail", "playtime_hours desc, votes_up desc", 50, "review_key, word_count, review_length, substring(review_text, 1, 30) as snippet"),
+):
+    finding(_name, f"select {_columns}, {REVIEW} from {{facts}} order by {_order}, review_key limit {_n}")
 finding("helpful_votes_of_games", """with votes as (select game_key, cast(sum(votes_up) as bigint) as votes_up, count(*) as reviews, max(votes_up) as max_votes_up from {facts} group by game_key order by votes_up desc, game_key limit 10)
   select game_name, votes_up, reviews, max_votes_up, round(alignment, 4) as alignment, label from votes v join {scores} s on v.game_key = s.game_key""")
-finding("refund_rates", f"select game_name, round(100 * pct_refunded, 4) as pct_refunded, total_reviews, {_RATINGS}, label, round(100 * pct_bug_reports, 4) as pct_bug_reports, round(100 * pct_early_access, 4) as pct_early_access from {{scores}} where total_reviews >= {ENOUGH} order by round(pct_refunded, 9) desc, game_key limit 10")
-finding("disaster_snippets", """with targets as (select game_key, game_name from {games} where game_key in (3, 7, 11, 19, 23)),
-  ranked as (select game_key, review_key, votes_funny, votes_up, voted_up, sentiment_label, substring(review_text, 1, 28) as snippet, row_number() over (partition by game_key order by votes_funny desc, review_key) as rn from {facts} where game_key in (select game_key from targets) and votes_funny > 0)
-  select game_name, votes_funny, votes_up, voted_up, sentiment_label, snippet, rn from targets t join ranked r on t.game_key = r.game_key where rn <= 3""")
-finding("dimension_leaders", """with means as (select 'genre' as dimension, genre as member, s.* from {scores} s join {genres} m on s.game_key = m.game_key union all select 'theme' as dimension, theme as member, s.* from {scores} s join {themes} m on s.game_key = m.game_key),
-  rolled as (select dimension, member, count(external_rating) as rated_games, count(total_reviews) as reviewed_games, cast(sum(total_reviews) as bigint) as total_reviews, round(sum(sentiment_rating * sentiment_reviews) / nullif(sum(sentiment_reviews), 0), 6) as sentiment_rating,
-    round(100 * sum(pct_bug_reports * total_reviews) / nullif(sum(total_reviews), 0), 6) as pct_bug_reports from means where member <> 'Unknown' group by dimension, member)
-  select * from (select *, row_number() over (partition by dimension order by sentiment_rating desc, member) as place from rolled where reviewed_games >= 5) x where place <= 10""")
-finding("funny_by_theme", """with ranked as (select t.theme as theme, game_name, votes_funny, sentiment_label, substring(review_text, 1, 30) as snippet, row_number() over (partition by t.theme order by votes_funny desc, votes_up desc, review_key) as rn from {facts} f join {themes} t on f.game_key = t.game_key where t.theme <> 'Unknown')
-  select * from ranked where rn <= 3""")
-finding("sentiment_drilldown", f"""with top_games as (select game_key, game_name, sentiment_rating, total_reviews from {{scores}} where total_reviews >= {ENOUGH} order by round(sentiment_rating, 6) desc, game_key limit 10), {_STRINGS},
-  best as (select *, row_number() over (partition by game_key order by influence desc, review_key) as rn from {{facts}} where is_eligible and game_key in (select game_key from top_games))
-  select t.game_name as game_name, round(sentiment_rating, 4) as sentiment_rating, total_reviews, genres, themes, influence, votes_up, votes_funny, playtime_hours, word_count, review_text from top_games t left join strings s on t.game_key = s.game_key left join (select * from best where rn = 1) b on t.game_key = b.game_key""")
-finding("golden_zone_drilldown", """with combos as (select genre, theme, count(distinct s.game_key) as combo_games, round(sum(sentiment_rating * sentiment_reviews) / nullif(sum(sentiment_reviews), 0), 6) as combo_rating
-    from {scores} s join {genres} g on s.game_key = g.game_key join {themes} t on s.game_key = t.game_key where genre <> 'Unknown' and theme <> 'Unknown' group by genre, theme having count(distinct s.game_key) >= 5),
-  best_combos as (select * from combos order by combo_rating desc, genre, theme limit 3),
-  combo_games as (select distinct c.genre as genre, c.theme as theme, combo_rating, g.game_key as game_key from best_combos c join {genres} g on c.genre = g.genre join {themes} t on c.theme = t.theme and g.game_key = t.game_key),
-  ranked as (select c.genre as genre, c.theme as theme, combo_rating, s.game_key as game_key, game_name, sentiment_rating, total_reviews, row_number() over (partition by c.genre, c.theme order by round(sentiment_rating, 6) desc, s.game_key) as game_rank from combo_games c join {scores} s on c.game_key = s.game_key),
-  top_games as (select * from ranked where game_rank <= 3),
-  on_platforms as (select p.game_key as game_key, [[platform]] as platforms from {platforms} p where p.game_key in (select game_key from top_games) group by p.game_key),
-  best as (select *, row_number() over (partition by game_key order by influence desc, review_key) as rn from {facts} where is_eligible and game_key in (select game_key from top_games))
-  select genre, theme, combo_rating, game_rank, t.game_name as game_name, round(sentiment_rating, 4) as sentiment_rating, total_reviews, platforms, influence, votes_up, playtime_hours, review_text
-  from top_games t left join on_platforms p on t.game_key = p.game_key left join (select * from best where rn = 1) b on t.game_key = b.game_key""")
-
-
-def _picks(name: str, extra: str) -> None:
-    """Games picked by name and key in VALUES, joined on both."""
-    finding(name, f"""with picks as (select p.game_key as game_key, g.game_name as game_name from (values (3), (7), (11), (19), (23), (100000000)) as p(game_key) join {{games}} g on p.game_key = g.game_key),
-      pick_keys as (select s.* from {{scores}} s join picks p on s.game_name = p.game_name and s.game_key = p.game_key) {extra}""")
-
-
-_picks("alignment_picks", f"select game_name, total_reviews, {_RATINGS}, round(100 * pct_positive, 4) as pct_positive, round(100 * pct_negative, 4) as pct_negative from pick_keys")
-_picks("tier_mismatch_picks", f"select game_name, total_reviews, sentiment_tier, vote_tier, {_RATINGS}, label from pick_keys")
-_picks("alignment_drilldown", """, best as (select *, row_number() over (partition by game_key order by influence desc, review_key) as rn from {facts} where is_eligible and game_key in (select game_key from pick_keys))
-  select k.game_name as game_name, round(alignment, 4) as alignment, influence, votes_up, votes_funny, comment_count, voted_up, playtime_hours, compound, review_text from pick_keys k left join (select * from best where rn = 1) b on k.game_key = b.game_key""")
-finding("tier_mismatch_drilldown", f"""with ordinals as (select *, {catalogue._BUCKET} as volume_bucket, {catalogue._ORDINAL('sentiment_tier')} as s, {catalogue._ORDINAL('vote_tier')} as v from {{scores}}),
-  ranked as (select *, row_number() over (partition by volume_bucket order by abs(s - v) desc, total_reviews desc, game_key) as place from ordinals where s is not null and v is not null and s <> v)
-  select volume_bucket, place, game_name, total_reviews, sentiment_tier, vote_tier, {_RATINGS}, label from ranked where place <= 5""")
+finding("refund_rates", f"select game_name, round(100 * pct_refunded, 4) as pct_refunded, total_reviews, {RATINGS}, label, round(100 * pct_bug_reports, 4) as pct_bug_reports, round(100 * pct_early_access, 4) as pct_early_access from {{scores}} where total_reviews >= {ENOUGH} order by round(pct_refunded, 9) desc, game_key limit 10")
+# games picked by name and key in VALUES, joined on both
+_PICKS = "from {scores} s join {games} g on s.game_key = g.game_key and s.game_name = g.game_name join (values (3), (7), (11), (19), (23), (100000000)) as p(pick) on p.pick = s.game_key"
+_OF_S = re.sub(r"round\((\w+), 4\)", r"round(s.\1, 4)", RATINGS)
+finding("alignment_picks", f"select s.game_name as game_name, total_reviews, {_OF_S}, round(100 * pct_positive, 4) as pct_positive, round(100 * pct_negative, 4) as pct_negative {_PICKS}")
+finding("tier_mismatch_picks", f"select s.game_name as game_name, total_reviews, sentiment_tier, vote_tier, {_OF_S}, label {_PICKS}")

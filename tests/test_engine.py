@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lakemill.functions import sentiment, text
 from lakemill.functions.keys import row_hash
 import __spark_entry__ as entry
-from lakemill.plans import catalogue, findings, operations
+from lakemill.plans import catalogue, drilldowns, findings, operations
 from lakemill.plans.dag import Run, Stage, execute
 from lakemill.sources import control, landing
 from lakemill.sources.lake import DuplicateKeys, LakeTable
@@ -28,7 +28,7 @@ def plain(x):
     return repr(round(float(x), 6)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
 
-SQL = {**catalogue.ORACLES, **findings.ORACLES, **operations.ORACLES}
+SQL = {**catalogue.ORACLES, **findings.ORACLES, **drilldowns.ORACLES, **operations.ORACLES}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
