@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 # HTML's element kinds.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg math".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template svg".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("article body div main section td blockquote".split())
 LISTS = frozenset("ul ol dl table figure".split())
 #: Elements that never hold main text.
-NEVER = frozenset("nav footer aside form button select option input label menu dialog head search fieldset datalist object audio video canvas map".split()) | RAW
+NEVER = frozenset("nav footer aside form button select option input menu dialog head search fieldset datalist object audio video canvas map annotation annotation-xml".split()) | RAW
 #: Elements that close an open paragraph.
 CLOSES_P = BLOCKS - frozenset("caption td th tr tbody thead tfoot head body html".split())
 #: Siblings that an opening tag closes, up to the given ancestors.
@@ -27,6 +27,10 @@ CLOSES = {"li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd",
 #: Words of a class or id that mark what is not main text, and what is.
 BAD = re.compile(r"(?i)(^|[\s_-])(ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|disclaimer|footer|foot|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promo\w*|related|replies|respond|rss|share|sharing|shoutbox|sidebar|side|skyscraper|social|sponsor\w*|subscribe|tags|toolbar|widget)(?=$|[\s_-])")
 GOOD = re.compile(r"(?i)(^|[\s_-])(article|body|content|entry|hentry|main|page|post|story|text)(?=$|[\s_-])")
+#: Of these words, those that prose may have in a class of its own: inside an article they need more signs (``_weak``).
+WEAK = frozenset("ad banner disclaimer foot notice notices pager related replies respond share side social tags".split())
+#: Words that say of what kind a marked block is, not what it is about.
+SHAPES = frozenset("area bar block body box buttons column container icons inner item items links list media module panel posts row section site top wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _SPACE = re.compile(r"[\x20\t\n\v\f\r]+")
@@ -35,9 +39,13 @@ _OTHER = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[
 _TAG = re.compile(r"</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>", re.DOTALL)
 _BARE = re.compile(r"</?[a-zA-Z][^>]*>", re.DOTALL)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"\s(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: An attribute with its value, quoted values whole, so that nothing inside of one is taken for an attribute.
+_ATTRIBUTE = re.compile(r"[\s/]+([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*))?")
 
 
+#: Where the text of such an element ends; the tag's own end is looked for once, so the search is linear.
+_ENDS = {x: re.compile(rf"</{x}(?=[\s/>])", re.I) for x in RAW}
+
 #: Elements that a head may hold; any other tag, or text, ends it.
 IN_HEAD = frozenset("html head title meta link script style base noscript template basefont bgsound".split())
 #: So many blocks up, elements are looked for that an opening tag closes.
@@ -47,27 +55,48 @@ REACH = 64
 class Node:
     """An element. ``block`` is the nearest block, itself included; ``open`` counts the inline elements that are open in a block."""
 
-    __slots__ = ("tag", "parent", "children", "hint", "score", "length", "linked", "commas", "block", "open")
+    __slots__ = ("tag", "parent", "children", "hint", "score", "length", "linked", "commas", "block", "open", "within")
 
     def __init__(self, tag: str, parent: Node | None, hint: int):
         self.tag, self.parent, self.hint = tag, parent, hint
         self.open: dict[str, int] | None = {} if parent is None or tag in BLOCKS else None
         self.block: Node = self if self.open is not None else parent.block
+        #: inside an article or main element, which has told already what is main text
+        self.within: bool = parent is not None and (parent.within or parent.tag in ("article", "main"))
         self.children: list[Node | str] = []
         self.score = 0.0
         self.length = self.linked = self.commas = 0
 
 
-def _hint(tag: str, source: str) -> int:
-    """-1: not main text by its name, class, id, role or because it is hidden; 1: a good sign; 0: neither."""
+def attributes(source: str) -> dict[str, str]:
+    """The attributes of a tag, names in lower case; of repeated ones the first."""
+    found: dict[str, str] = {}
+    if " " in source or "\n" in source or "\t" in source or "/" in source:
+        for name, value in _ATTRIBUTE.findall(source, _NAME.match(source).end()):
+            found.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    return found
+
+
+def _weak(names: str) -> bool:
+    """Whether the class and id of a block inside an article leave open that it is prose: its bad words are weak ones, or parts of longer words, and it has others."""
+    marked = [x for x in names.lower().split() if BAD.search(x)]
+    parts = [re.split(r"[_-]+", x) for x in marked]
+    if any(BAD.fullmatch(w) and w not in WEAK for x in parts for w in x):
+        return False
+    others = [x for x in names.split() if not BAD.search(x) and x.lower() not in SHAPES]
+    return bool(others) or any(not BAD.fullmatch(w) and w not in SHAPES for x in parts for w in x)
+
+
+def _hint(tag: str, source: str, within: bool) -> int:
+    """-1: not main text by its name, class, id, role or because it is hidden; -2: so by its class, if its text agrees; 1: a good sign; 0: neither."""
     if tag in NEVER:
         return -1
-    found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(source)} if " " in source else {}
+    found = attributes(source)
     names = f"{found.get('class', '')} {found.get('id', '')}"
-    if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", found.get("style", "")):
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in ROLES or re.search(r"(?i)display\s*:\s*none", found.get("style", "")):
         return -1
     if tag not in ("html", "body", "article", "main") and BAD.search(names):
-        return -1
+        return -2 if within and _weak(names) else -1
     return int(tag in ("article", "main") or bool(GOOD.search(names)))
 
 
@@ -151,11 +180,12 @@ def parse(source: str) -> Node:
             node = left(node, last.parent) if last else node
         if name in HEADINGS and node.tag in HEADINGS:
             node = left(node, node.parent)
-        new = Node(name, node, _hint(name, tag))
+        new = Node(name, node, 0)
+        new.hint = _hint(name, tag, new.within)
         node.children.append(new)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-            jump = end.end() if end else n
+            end = _ENDS[name].search(source, at)
+            jump = (source.find(">", end.end()) + 1 or n) if end else n
         elif name not in VOID and not tag.endswith("/>"):
             counts = blocks_open if new.open is not None else new.block.open
             counts[name] = counts.get(name, 0) + 1
@@ -169,7 +199,7 @@ def _measure(node: Node, in_link: bool) -> None:
         x, linked = stack.pop()
         linked = linked or x.tag == "a"
         order.append((x, linked))
-        stack.extend((y, linked) for y in x.children if isinstance(y, Node) and y.hint >= 0)
+        stack.extend((y, linked) for y in x.children if isinstance(y, Node) and y.hint != -1)
     for x, linked in reversed(order):
         for y in x.children:
             if isinstance(y, str):
@@ -179,6 +209,8 @@ def _measure(node: Node, in_link: bool) -> None:
                 x.commas += y.count(",")
             elif y.hint >= 0:
                 x.length, x.linked, x.commas = x.length + y.length, x.linked + y.linked, x.commas + y.commas
+        if x.hint == -2:  # a weak sign: links decide
+            x.hint = -1 if not x.length or density(x) >= 0.5 else 0
 
 
 def density(node: Node) -> float:
@@ -226,11 +258,26 @@ def best_containers(root: Node) -> list[Node]:
             joined = ranked[id(x)] >= max(10.0, 0.2 * ranked[id(top)]) and x.tag in CONTAINERS
             prose = x.tag in PARAGRAPHS and (x.length > 80 and density(x) < 0.25 or 0 < x.length <= 80 and not x.linked and x.commas + (x.tag in HEADINGS) > 0)
             listed = x.tag in LISTS and x.length and density(x) < 0.25
-            if x is top or joined or prose or listed:
+            short = x.tag in CONTAINERS and x.length and not x.linked and _holds_prose(x)
+            if x is top or joined or prose or listed or short:
                 out.append(x)
     return out
 
 
+def _holds_prose(node: Node) -> bool:
+    """Whether all text of a container without links stands in paragraphs or headings, as a short last section's or a title's does."""
+    stack: list[Node] = [node]
+    while stack:
+        x = stack.pop()
+        for y in x.children:
+            if isinstance(y, str):
+                if y.strip():
+                    return False
+            elif y.hint >= 0 and y.tag not in PARAGRAPHS:
+                stack.append(y)
+    return True
+
+
 def blocks(node: Node) -> list[str]:
     """Texts of the blocks of a subtree in page order, white space as one space."""
     out: list[str] = []
