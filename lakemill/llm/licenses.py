@@ -33,22 +33,32 @@ TEMPLATES = (
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "Licensed under the MIT license; see the LICENSE file."),
+    ("Apache-2.0", "Licensed under the Apache License 2.0."),
+    ("Apache-2.0", "Licensed under Apache-2.0."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    *((name, f"SPDX-License-Identifier: {name}") for name in ("MIT", "Apache-2.0", "GPL-3.0", "GPL-2.0", "AGPL-3.0", "LGPL-3.0", "MPL-2.0", "ISC", "CC0-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense")),
 )
 
 #: Phrases that tell a license from its relatives. A match must hold those of its license that its template holds, word for word.
 DECIDING = {
-    "Apache-2.0": ("apache license version 2 0", "licenses license 2 0"),
-    "GPL-3.0": ("gnu general public license", "public license version 3", "version 3 of the license"),
-    "GPL-2.0": ("gnu general public license", "public license version 2", "version 2 of the license"),
-    "AGPL-3.0": ("gnu affero general public license", "version 3 of the license"),
-    "LGPL-3.0": ("gnu lesser general public license", "version 3 of the license"),
-    "MPL-2.0": ("mozilla public license v 2 0",),
-    "ISC": ("with or without fee",),
-    "CC0-1.0": ("waived all copyright",),
+    "MIT": ("the mit license mit", "under the mit license", "identifier mit"),
+    "Apache-2.0": ("apache license version 2 0", "licenses license 2 0", "apache license 2 0", "under apache 2 0", "identifier apache 2 0"),
+    "GPL-3.0": ("gnu general public license", "public license version 3", "version 3 of the license", "identifier gpl 3 0"),
+    "GPL-2.0": ("gnu general public license", "public license version 2", "version 2 of the license", "identifier gpl 2 0"),
+    "AGPL-3.0": ("gnu affero general public license", "version 3 of the license", "identifier agpl 3 0"),
+    "LGPL-3.0": ("gnu lesser general public license", "version 3 of the license", "identifier lgpl 3 0"),
+    "MPL-2.0": ("mozilla public license v 2 0", "identifier mpl 2 0"),
+    "ISC": ("with or without fee", "identifier isc"),
+    "CC0-1.0": ("waived all copyright", "identifier cc0 1 0"),
     "CC-BY-4.0": ("cc by 4 0",),
     "CC-BY-NC-4.0": ("cc by nc 4 0",),
     "CC-BY-SA-4.0": ("cc by sa 4 0",),
-    "BSD-3-Clause": ("endorse or promote products",),
+    "BSD-3-Clause": ("endorse or promote products", "identifier bsd 3 clause"),
+    "BSD-2-Clause": ("identifier bsd 2 clause",),
+    "Unlicense": ("released into the public domain", "identifier unlicense"),
 }
 
 #: Words of a shingle: notices have as few as five words, so shingles of five would make some a single one.
@@ -57,7 +67,9 @@ SHINGLE = 2
 WINDOWS = ((4, 1, 0), (12, 4, 16))
 #: Windows of a similarity of 0.8 meet in one of 6 bands of 2 MinHashes with probability 1 - (1 - 0.8^2)^6 = 0.998.
 BANDS, ROWS = 6, 2
-#: The share of a template's shingles that a document must hold, in percent.
+#: A passage has at most so many times the shingles of the template.
+SPREAD = 2
+#: The share of a template's shingles that a passage must hold, in percent.
 PERCENT = 80
 
 #: MinHash j of a set of 64-bit hashes is the least of hash XOR mask j.
@@ -120,10 +132,12 @@ def template_bands(spark: SparkSession, templates: Sequence[tuple[str, str]], de
 def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, percent: int = PERCENT, deciding: Mapping[str, Sequence[str]] = DECIDING, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, template (its number), license, n_template, n_found and containment (n_found / n_template) of each match.
 
-    A document's windows retrieve templates by equal bands; a match must then hold ``percent`` percent of the distinct
-    shingles of the template, counted exactly over the whole text, and the phrases that decide its license. The templates are a parameter, in memory already,
-    so their bands are a literal and their table is broadcast. One pass, no shuffle before candidates. Null or empty
-    texts match nothing, null ids stay, repeated rows are each scanned, empty tables give no rows.
+    A document's windows retrieve templates by equal bands; a passage of at most SPREAD times the template's length must then
+    hold ``percent`` percent of the distinct shingles of the template, counted exactly, and the phrases that decide its
+    license, so words strewn over a text are no notice. Of a text's passages the best counts. The templates are a parameter,
+    in memory already, so their bands are a literal and their table is broadcast. One pass, no shuffle before candidates.
+    Null or empty texts match nothing, null ids stay, repeated rows are each scanned, very long texts are scanned whole,
+    further columns don't matter, whatever their names, empty tables give no rows.
     """
     known, bands = template_bands(docs.sparkSession, templates, deciding)
     listed = bands.collect()  # bounded: templates' words times bands
@@ -142,8 +156,14 @@ def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
         F.when(F.arrays_overlap("bands", F.array(*(F.lit(b) for b in sorted(own)))), F.lit(t)) for t, own in sorted(of_band.items())
     )), lambda t: t.isNotNull())
     pairs = found.select("doc_id", "held", F.explode(reached).alias("template")).join(F.broadcast(known), "template")
-    pairs = pairs.withColumn("n_found", F.size(F.array_intersect("held", "wanted")).cast("long")).withColumn("n_template", F.size("wanted").cast("long"))
+    # a bound by the whole text first, then by its best passage
+    n = F.size("wanted")
+    pairs = pairs.filter(100 * F.size(F.array_intersect("held", "wanted")) >= percent * n)
+    width = F.ceil(n * SPREAD).cast("int")
+    at = F.filter(F.transform("held", lambda x, i: F.when(F.array_contains("wanted", x), i + 1)), lambda i: i.isNotNull())
+    passages = F.transform(at, lambda i: F.slice("held", i, width))
+    inside = lambda own, p: F.exists(F.sequence(F.lit(1), F.greatest(F.size(own) - F.size(p) + 1, F.lit(1))), lambda i: F.slice(own, i, F.size(p)) == p)
+    found_in = F.transform(passages, lambda own: F.when(F.forall("phrases", lambda p: inside(own, p)), F.size(F.array_intersect(own, F.col("wanted")))).otherwise(0))
+    pairs = pairs.withColumn("n_found", F.array_max(found_in).cast("long")).withColumn("n_template", n.cast("long"))
     pairs = pairs.filter(100 * F.col("n_found") >= percent * F.col("n_template"))
-    whole = lambda p: F.exists(F.sequence(F.lit(1), F.greatest(F.size("held") - F.size(p) + 1, F.lit(1))), lambda i: F.slice("held", i, F.size(p)) == p)
-    pairs = pairs.filter(F.forall("phrases", whole))
     return pairs.select("doc_id", "template", "license", "n_template", "n_found", F.round(F.col("n_found") / F.col("n_template"), 6).alias("containment"))

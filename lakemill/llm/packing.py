@@ -71,8 +71,9 @@ def sum_of_squares(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndar
 def pack(pieces: DataFrame, limit: int, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to pieces with a ``length`` of 1 to ``limit``.
 
-    Pieces are dealt by a hash of what they are to groups of about ``group`` and packed longest first, each group in
-    one task; no task depends on another. Null ids, ties and repeated rows are packed like others.
+    Pieces are dealt evenly to groups of about ``group``, whatever they are, so rows repeated without end fill no group, and
+    packed longest first, each group in one task; no task depends on another. Null ids, ties, repeated rows and empty
+    documents (their end id alone) are packed like others; an empty table gives no rows.
     """
     parts = max(1, -(-pieces.count() // group))
 
@@ -83,11 +84,14 @@ def pack(pieces: DataFrame, limit: int, group: int = GROUP) -> DataFrame:
             of, offsets = sum_of_squares(x["length"].to_numpy(), limit)
             yield x.assign(sequence_id=(TaskContext.get().partitionId() << 40) + of, offset=offsets)
 
-    key = F.xxhash64("doc_id", "piece", "ids_crc32")
-    dealt = pieces.withColumn("key", key).repartition(parts, "key").sortWithinPartitions(F.desc("length"), "key", "doc_id", "piece").drop("key")
+    dealt = pieces.repartition(parts).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
     return dealt.mapInPandas(tidy(place), f"{PIECES}, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, limit: int = 4096) -> DataFrame:
-    """Encodes, cuts and packs all documents. Pieces are staged, so no text is encoded twice. No documents: no rows."""
+    """Encodes, cuts and packs all documents. Pieces are staged, so no text is encoded twice.
+
+    A null text is empty; ids may be null or repeat; very long texts are cut into pieces; further columns don't matter,
+    whatever their names; no documents: no rows.
+    """
     return pack(staged(token_pieces(docs, tokenizer, end_id, limit), "pieces"), limit)

@@ -27,6 +27,17 @@ CASES = [
     ("Licensed under the Apache License, Version 2.0.", {"Apache-2.0"}),
     (OPENING + " 1. Source code must retain the notice. 2. Binaries must reproduce it.", {"BSD"}),
     (OPENING + " 1. Source code must retain the notice. 3. " + CLAUSE, {"BSD", "BSD-3-Clause"}),
+    ("They released under the bridge a boat. Some say the MIT crowd came. An MIT license debate followed.", set()),
+    ("We released a boat under " + "some more words of a tale " * 40 + "the MIT crowd, and the MIT license was read.", set()),
+    ("The MIT License (MIT) Copyright (c) 2020 Someone", {"MIT"}),
+    ("Licensed under the Apache License 2.0", {"Apache-2.0"}),
+    ("Licensed under the Apache License 1.1", set()),
+    ("// SPDX-License-Identifier: GPL-2.0-or-later", {"GPL-2.0"}),
+    ("# SPDX-License-Identifier: Apache-2.0", {"Apache-2.0"}),
+    ("/* SPDX-License-Identifier: BSD-3-Clause */", {"BSD-3-Clause"}),
+    ("SPDX-License-Identifier: MIT", {"MIT"}),
+    ("SPDX-License-Identifier: WTFPL", set()),
+    (next(t for n, t in TEMPLATES if n == "MIT" and len(t) > 500), {"MIT"}),
 ]
 
 
