@@ -25,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group of near copies (five-word shingles, similarity 0.8): that of the least id.
 
     Texts without words are in no group and stay. Null ids stay where no other id is in the group; of rows repeated in
-    id and text one stays. Very long texts are compared whole; an empty table gives no rows. Further columns stay.
+    id and text the first by its other columns stays. Very long texts are compared whole; an empty table gives no rows. Further columns stay.
     """
     found = neardup.near_duplicates(docs)
     group = F.coalesce(F.col("component_id").cast("string"), F.hex("node"), F.lit(""))
@@ -36,11 +36,22 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.withColumn("__text_hash", neardup.text_digest(F.col("text").cast("string")))
     fits = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__text_hash").eqNullSafe(F.col("__hash"))
     kept = keyed.join(F.broadcast(gone) if gone.count() <= GONE else gone, fits, "left_anti")
-    if not found.groupBy("doc_id", "text_hash").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "__text_hash"])  # rows repeated in full
+    twice = found.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    if not twice.isEmpty():
+        kept = _first_of_repeats(kept, staged(twice, "pipeline-repeated"), docs.columns)
     return kept.select(*docs.columns)
 
 
+def _first_of_repeats(keyed: DataFrame, twice: DataFrame, columns: list[str]) -> DataFrame:
+    """One row of each repeated id and text: the first by its other columns as JSON, so reruns agree. Other rows stay; only repeats are shuffled, one a task at most."""
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__text_hash").eqNullSafe(F.col("__hash"))
+    once = keyed.join(twice, same, "left_anti").select(*columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in columns))
+    order = F.to_json(F.struct(*(F.col(f"`{c}`") for c in columns if c not in ("doc_id", "text")), F.lit("").alias("__end")))
+    firsts = keyed.join(twice, same, "left_semi").groupBy("doc_id", "__text_hash").agg(F.min_by(whole, order).alias("__row"))
+    return once.unionByName(firsts.select(*(F.col("__row").getField(c).alias(c) for c in columns)))
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without strings of 200 bytes and more that also start elsewhere.
 
