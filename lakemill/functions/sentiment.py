@@ -1,21 +1,34 @@
-"""Rule-based sentiment by the published rules of Hutto and Gilbert (2014), with a small lexicon of its own.
+"""Rule-based sentiment by the published rules of Hutto and Gilbert (2014), for any lexicon given as a table.
 
-A full lexicon can be passed in; equal scores to any library are not claimed.
+Texts are scored on the JVM: tokens and their neighbours by higher-order functions, valences from a table that is broadcast
+as one row of small maps, up to a stated size. ``score`` says the same for one text. The lexicon here is our own, with
+inflected forms made by rule; equal scores to any library are not claimed.
 """
 
+from __future__ import annotations
+
 import math
 import re
 from collections.abc import Mapping
+from decimal import ROUND_HALF_UP, Decimal
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Word valences (-4 to 4), boosters and negations.
-LEXICON = {
-    "amazing": 2.8, "awesome": 3.1, "bad": -2.5, "beautiful": 2.9, "best": 3.2, "better": 1.9, "boring": -1.3, "broken": -2.1, "disappointing": -2.2, "enjoy": 2.2,
-    "excellent": 2.7, "fail": -2.5, "fantastic": 2.6, "fun": 2.3, "garbage": -2.4, "good": 1.9, "great": 3.1, "hate": -2.7, "horrible": -2.5, "love": 3.2,
-    "nice": 1.8, "perfect": 2.7, "poor": -2.1, "problem": -1.7, "sad": -2.1, "terrible": -2.1, "waste": -1.8, "wonderful": 2.7, "worst": -3.1, "worth": 0.9,
+# Fixed values of our own: word valences (-4 to 4) by kind of word, boosters and negations.
+VERBS = {
+    "admire": 2.3, "adore": 2.9, "annoy": -1.9, "bore": -1.3, "bother": -1.4, "charm": 1.9, "crash": -1.7, "delight": 2.8, "disappoint": -2.2, "dislike": -1.7, "enjoy": 2.2, "fail": -2.5,
+    "frustrate": -2.0, "hate": -2.7, "impress": 2.2, "improve": 1.9, "love": 3.2, "please": 1.7, "praise": 2.3, "recommend": 1.8, "ruin": -2.4, "suck": -2.1, "thrill": 2.1, "trust": 2.0, "upset": -1.7, "waste": -1.8, "welcome": 1.9, "worry": -1.9,
+}
+ADJECTIVES = {
+    "awful": -2.3, "bad": -2.5, "bland": -1.0, "brave": 2.3, "bright": 1.7, "clean": 1.5, "clever": 2.0, "cool": 1.4, "cruel": -2.8, "cute": 2.0, "dull": -1.5, "fair": 1.3, "fine": 1.0, "fresh": 1.3, "fun": 2.3, "funny": 1.9, "great": 3.1,
+    "happy": 2.7, "lazy": -1.5, "mad": -2.0, "neat": 1.8, "nice": 1.8, "poor": -2.1, "pretty": 1.8, "rich": 1.6, "sad": -2.1, "sharp": 0.9, "smart": 1.7, "smooth": 1.2, "strong": 1.8, "ugly": -2.3, "weak": -1.9, "weird": -0.7,
+}
+NOUNS = {"bug": -1.3, "disaster": -3.1, "error": -1.7, "gem": 2.1, "joke": 1.2, "joy": 2.8, "masterpiece": 3.1, "mess": -1.5, "pain": -2.3, "pleasure": 2.7, "problem": -1.7, "scam": -2.7, "treasure": 2.3, "winner": 2.8}
+OTHERS = {
+    "amazing": 2.8, "awesome": 3.1, "beautiful": 2.9, "beautifully": 2.8, "best": 3.2, "better": 1.9, "boring": -1.3, "brilliant": 2.8, "broken": -2.1, "excellent": 2.7, "fantastic": 2.6, "favorite": 2.0, "garbage": -2.4, "good": 1.9, "gorgeous": 3.0,
+    "horrible": -2.5, "incredible": 2.5, "junk": -1.9, "lovely": 2.8, "mediocre": -1.2, "outstanding": 3.0, "pathetic": -2.7, "perfect": 2.7, "perfectly": 2.6, "stunning": 2.2, "superb": 3.1, "terrible": -2.1, "trash": -1.8, "unplayable": -2.4,
+    "useless": -1.8, "wonderful": 2.7, "worse": -2.1, "worst": -3.1, "worth": 0.9, "worthless": -1.9,
 }
 BOOSTERS = {"absolutely": 0.293, "completely": 0.293, "extremely": 0.293, "really": 0.293, "so": 0.293, "totally": 0.293, "very": 0.293, "barely": -0.293, "hardly": -0.293, "slightly": -0.293, "somewhat": -0.293}
 NEGATIONS = frozenset("aint arent cannot cant couldnt didnt doesnt dont hadnt hasnt havent isnt neither never no none nor not nothing shouldnt wasnt werent without wont wouldnt".split())
@@ -25,6 +38,40 @@ FADING = (1.0, 0.95, 0.9)
 _TOKEN = re.compile(r"[\w']+")
 
 
+def _stem(word: str, ending: str) -> str:
+    """``word`` before an ending that begins with a vowel: without its silent e, y as i before e, a last consonant doubled after one short vowel."""
+    if word.endswith("e"):
+        return word[:-1]
+    if re.search("[^aeiou]y$", word) and ending[0] == "e":
+        return word[:-1] + "i"
+    return word + word[-1] if re.fullmatch("[^aeiou]*[aeiou][^aeiouwxy]", word) else word
+
+
+def inflected() -> dict[str, float]:
+    """All forms of the lexicon's words: verbs by person and tense, adjectives by degree (a tenth more a step) and as adverbs, nouns in the plural."""
+    out = dict(OTHERS)
+    plural = lambda w: re.sub("y$", "i", w) + "es" if re.search("([^aeiou]y|s|x|ch|sh)$", w) else w + "s"
+    for word, v in VERBS.items():
+        past = word if word == "upset" else _stem(word, "ed") + "ed"
+        out |= {word: v, plural(word): v, past: v, _stem(word, "ing") + "ing": v}
+    for word, v in ADJECTIVES.items():
+        more = lambda step: math.copysign(min(4.0, round(abs(v) * (1 + step / 10), 2)), v)  # noqa: E731, B023
+        degrees = {} if word in ("bad", "awful", "cruel", "fun") else {_stem(word, "er") + "er": more(1), _stem(word, "est") + "est": more(2)}
+        adverb = re.sub("y$", "i", word) + ("ly" if not word.endswith("ll") else "y")
+        out = {**degrees, **({} if word in ("fun", "cool") else {adverb: v}), word: v, **out}
+    for word, v in NOUNS.items():
+        out |= {word: v, plural(word): v}
+    return out
+
+
+LEXICON = inflected()
+
+
+def _round(x: float, digits: int) -> float:
+    """As SQL rounds: halves of the shortest decimal form go up."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+
+
 def score(text: str, lexicon: Mapping[str, float] = LEXICON) -> tuple[float, float, float, float]:
     """(positive, compound, neutral, negative)."""
     tokens = _TOKEN.findall(text)
@@ -59,16 +106,97 @@ def score(text: str, lexicon: Mapping[str, float] = LEXICON) -> tuple[float, flo
     everything = positive - negative + neutral
     if not everything:
         return 0.0, 0.0, 0.0, 0.0
-    return round(positive / everything, 3), round(total / math.sqrt(total * total + MANY), 4), round(neutral / everything, 3), round(-negative / everything, 3)
+    return _round(positive / everything, 3), _round(total / math.sqrt(total * total + MANY), 4), _round(neutral / everything, 3), _round(-negative / everything, 3)
+
+
+#: Words that a lexicon may have, as it is broadcast; and words that meet in one of its maps, as maps are searched in turn.
+MOST, TOGETHER = 200_000, 8
+
+
+class LexiconTooLarge(ValueError):
+    """A lexicon has more words than may be broadcast."""
+
+
+def lexicon_table(spark: SparkSession, words: Mapping[str, float] | None = None) -> DataFrame:
+    """word and valence of a lexicon in memory."""
+    return spark.createDataFrame(list((LEXICON if words is None else words).items()), "word string, valence double")
+
+
+def _shelves(lexicon: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """One row: an array of maps, a word's place told by its hash. A word given twice has its least valence."""
+    once = lexicon.filter("word is not null and valence is not null").groupBy("word").agg(F.min(F.col("valence").cast("double")).alias("valence"))
+    n = once.count()
+    if n > most:
+        raise LexiconTooLarge(f"{n} words; {most} may be broadcast")
+    shelves = max(1, -(-n // TOGETHER))
+    maps = once.groupBy(F.pmod(F.xxhash64("word"), F.lit(shelves)).cast("int").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("word", "valence"))).alias("m"))
+    every = lexicon.sparkSession.range(shelves).select(F.col("id").cast("int").alias("k")).join(maps, "k", "left")
+    empty = F.create_map().cast("map<string,double>")
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", F.map_entries(F.coalesce("m", empty)).alias("e")))), lambda x: F.map_from_entries(x["e"])).alias("__lexicon")), shelves
+
+
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
+
+def _scored(text: Column, shelves: int) -> Column:
+    boosters = F.create_map(*(F.lit(x) for pair in BOOSTERS.items() for x in pair))
+    negations = F.array(*(F.lit(x) for x in sorted(NEGATIONS)))
+    upper = lambda x: (F.upper(x) == x) & (F.lower(x) != x)
+    sign = lambda v: F.when(v < 0, -1.0).otherwise(1.0)
+    zero = F.lit(0.0)
+
+    def valence(word: Column) -> Column:
+        shelf = F.get(F.col("__lexicon"), F.pmod(F.xxhash64(word), F.lit(shelves)).cast("int"))
+        return F.when(F.try_element_at(boosters, word).isNotNull(), zero).otherwise(F.coalesce(F.try_element_at(shelf, word), zero))
+
+    def value(tokens: Column, low: Column, caps: Column, word: Column, i: Column) -> Column:
+        def rules(v: Column) -> Column:
+            raised = v + F.when(caps & upper(F.get(tokens, i)), sign(v) * CAPS).otherwise(zero)
+            for back, fade in enumerate(FADING, 1):
+                raised = raised + sign(v) * F.coalesce(F.try_element_at(boosters, F.get(low, i - back)), zero) * fade
+            before = [F.coalesce(F.array_contains(negations, F.get(low, i - back)), F.lit(False)) for back in (1, 2, 3)]
+            return F.when(v == 0, zero).otherwise(raised * F.when(before[0] | before[1] | before[2], NEGATED).otherwise(1.0))
+
+        return _let(valence(word), rules)
+
+    def values(tokens: Column) -> Column:
+        low = F.transform(tokens, lambda x: F.replace(F.lower(x), F.lit("'"), F.lit("")))
+        caps = F.exists(tokens, upper) & ~F.forall(tokens, upper)
+        own = lambda w: F.transform(w["low"], lambda x, i: value(tokens, w["low"], w["caps"], x, i))
+        turn = lambda w: F.array_position(w["low"], "but").cast("int") - 1
+        side = lambda v, i, t: v * F.when((t < 0) | (i == t), 1.0).when(i < t, 0.5).otherwise(1.5)
+        return _let(F.struct(low.alias("low"), caps.alias("caps")), lambda w: F.transform(own(w), lambda v, i: side(v, i, turn(w))))
+
+    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    asks = count("?")
+    emphasis = F.least(count("!"), F.lit(4)) * BANG + F.when(asks < 2, zero).when(asks < 4, 0.18 * asks).otherwise(0.96)
+    add = lambda vs, f: F.aggregate(vs, zero, lambda a, v: a + f(v))
+
+    def told(w: Column) -> Column:
+        vs, more = w["v"], w["e"]
+        total = add(vs, lambda v: v)
+        total = total + F.when(total == 0, zero).otherwise(sign(total) * more)
+        up, down = add(vs, lambda v: F.when(v > 0, v + 1).otherwise(zero)), add(vs, lambda v: F.when(v < 0, v - 1).otherwise(zero))
+        neutral = F.size(F.filter(vs, lambda v: v == 0)).cast("double")
+        sums = F.struct(total.alias("t"), (up + F.when(up > F.abs(down), more).otherwise(zero)).alias("p"), (down - F.when(up < F.abs(down), more).otherwise(zero)).alias("n"), neutral.alias("z"))
+
+        def shares(x: Column) -> Column:
+            whole = F.nullif(x["p"] - x["n"] + x["z"], zero)
+            part = lambda y: F.coalesce(F.round(y / whole, 3), zero)
+            return F.struct(part(x["p"]).alias("positive"), F.when(whole.isNull(), zero).otherwise(F.round(x["t"] / F.sqrt(x["t"] * x["t"] + MANY), 4)).alias("compound"), part(x["z"]).alias("neutral"), part(-x["n"]).alias("negative"))
+
+        return _let(sums, shares)
 
+    tokens = F.regexp_extract_all(text, F.lit(r"(?U)[\w']+"), F.lit(0))
+    found = _let(F.struct(_let(tokens, values).alias("v"), emphasis.alias("e")), told)
+    return F.when(text.isNotNull(), found)
 
-def sentiment(text: Column, lexicon: Mapping[str, float] | None = None) -> Column:
-    """struct(positive, compound, neutral, negative) of a text; NULL for NULL. Gate the input, as UDFs run on all rows."""
-    words = dict(lexicon or LEXICON)
 
-    @F.pandas_udf("positive double, compound double, neutral double, negative double")
-    def scored(x: pd.Series) -> pd.DataFrame:
-        rows = [(None,) * 4 if t is None else score(t, words) for t in x]
-        return pd.DataFrame(rows, columns=["positive", "compound", "neutral", "negative"])
+def with_sentiment(rows: DataFrame, text: Column, lexicon: DataFrame | None = None, name: str = "sentiment", most: int = MOST) -> DataFrame:
+    """``rows`` with a struct of positive, compound, neutral and negative of a text; NULL for NULL.
 
-    return scored(text)
+    ``lexicon``: word (lower case, no apostrophes) and valence, ours if none is given; more than ``most`` words raise.
+    """
+    one, shelves = _shelves(lexicon_table(rows.sparkSession) if lexicon is None else lexicon, most)
+    return rows.crossJoin(F.broadcast(one)).withColumn(name, _scored(text, shelves)).drop("__lexicon")  # one row of checked size

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakemill.functions.keys import row_hash, surrogate_key
 from lakemill.functions.measures import playtime_bucket, sentiment_label
-from lakemill.functions.sentiment import sentiment
+from lakemill.functions.sentiment import with_sentiment
 from lakemill.functions.text import clean_text, demojize, quality_features
 from lakemill.operators.cleaning import dedup_latest, null_sentinels, top_per_group
 from lakemill.operators.scoring import BY_REVIEWS, BY_SENTIMENT, group_stats, member_rollup
@@ -262,8 +262,9 @@ def eligibility_counts(spark, sf_dir):
 
 @query()
 def document_sentiment(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("lang") == "en", clean_text(F.col("text"))).alias("t"))
-    return docs.select("doc_id", sentiment(F.col("t")).alias("s")).select("doc_id", "s.*")
+    """Sentiment of all documents' cleaned texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", clean_text(F.col("text")).alias("t"))
+    return with_sentiment(docs, F.col("t"), name="s").select("doc_id", "s.*")
 
 
 @query("select conv_id, turn, role, text from (select *, row_number() over (partition by conv_id order by turn desc, role, text) as rn from conversations) where rn = 1")

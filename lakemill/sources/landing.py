@@ -20,11 +20,45 @@ class Forbidden(RuntimeError):
     """The service refused; all fetching must stop."""
 
 
-def with_retries(fetch: Callable, *args, attempts: int = 5, pause: float = 10.0, ceiling: float = 600.0, sleep: Callable = time.sleep):
-    """``fetch(*args)`` gives (status, rows). 429 and 500 up are tried again, 403 stops everything."""
+class StopMark:
+    """A file in a shared folder that tells all readers of a source, on any machine, to fetch no more."""
+
+    def __init__(self, uri: str):
+        self.uri = uri if "://" in uri else "file://" + uri.removeprefix("file:")
+
+    def _place(self):
+        from pyarrow.fs import FileSystem
+
+        return FileSystem.from_uri(self.uri)
+
+    def set(self, reason: str) -> None:
+        fs, path = self._place()
+        with fs.open_output_stream(path) as out:
+            out.write(reason.encode())
+
+    def reason(self) -> str | None:
+        """Why to stop; None to go on."""
+        fs, path = self._place()
+        if not fs.get_file_info(path).is_file:
+            return None
+        with fs.open_input_stream(path) as f:
+            return f.read().decode()
+
+    def clear(self) -> None:
+        fs, path = self._place()
+        if fs.get_file_info(path).is_file:
+            fs.delete_file(path)
+
+
+def with_retries(fetch: Callable, *args, attempts: int = 5, pause: float = 10.0, ceiling: float = 600.0, sleep: Callable = time.sleep, stop: StopMark | None = None):
+    """``fetch(*args)`` gives (status, rows). 429 and 500 up are tried again, 403 stops everything: by ``stop``, all who share the mark."""
     for n in range(attempts):
+        if stop is not None and (reason := stop.reason()) is not None:
+            raise Forbidden(f"stopped: {reason}")
         status, rows = fetch(*args)
         if status == 403:
+            if stop is not None:
+                stop.set(str(args))
             raise Forbidden(str(args))
         if status != 429 and status < 500:
             return rows

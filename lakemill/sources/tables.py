@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lakemill.sources.lake import LakeTable
+from lakemill.sources.landing import StopMark
 
 
 def scan(spark: SparkSession, name: str) -> DataFrame:
@@ -141,10 +142,13 @@ class _Page(InputPartition):
 
 
 class PagedReader(DataSourceReader):
-    """Pages by offset, a partition each, so executors fetch them; ``fetch(start, size)`` gives (status, rows of JSON values)."""
+    """Pages by offset, a partition each, so executors fetch them; ``fetch(start, size)`` gives (status, rows of JSON values).
 
-    def __init__(self, fetch: Callable, total: int, size: int, columns: list[str]):
-        self.fetch, self.total, self.size, self.columns = fetch, total, size, columns
+    With a ``stop`` mark one refusal stops the readers of all partitions, and of tasks that are tried again.
+    """
+
+    def __init__(self, fetch: Callable, total: int, size: int, columns: list[str], stop: StopMark | None = None):
+        self.fetch, self.total, self.size, self.columns, self.stop = fetch, total, size, columns, stop
 
     def partitions(self) -> list[InputPartition]:
         return [_Page(start, self.size) for start in range(0, self.total, self.size)]
@@ -152,20 +156,20 @@ class PagedReader(DataSourceReader):
     def read(self, partition: _Page) -> Iterator[tuple]:
         from lakemill.sources.landing import with_retries
 
-        for row in with_retries(self.fetch, partition.start, partition.size):
+        for row in with_retries(self.fetch, partition.start, partition.size, stop=self.stop):
             yield tuple(row.get(c) for c in self.columns)
 
 
 class CursorReader(DataSourceReader):
     """Pages by cursor, in order, down to rows seen before; each page depends on the one before, so one task reads them."""
 
-    def __init__(self, fetch: Callable, mark: int | None, columns: list[str]):
-        self.fetch, self.mark, self.columns = fetch, mark, columns
+    def __init__(self, fetch: Callable, mark: int | None, columns: list[str], stop: StopMark | None = None):
+        self.fetch, self.mark, self.columns, self.stop = fetch, mark, columns, stop
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         from lakemill.sources.landing import cursor_pages
 
-        for _, rows in cursor_pages(self.fetch, mark=self.mark):
+        for _, rows in cursor_pages(self.fetch, mark=self.mark, stop=self.stop):
             for row in rows:
                 yield tuple(row.get(c) for c in self.columns)
 
