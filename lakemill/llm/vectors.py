@@ -14,9 +14,7 @@ from pyspark.sql import functions as F
 from lakemill.llm.common import staged
 from lakemill.llm.tokens import _open
 
-#: Bits of a component's cell number; cells divide the range of each partition's components evenly.
-BITS = 6
-#: Queries compared with a partition's vectors at once, and vectors of a partition at once.
+#: Queries compared with a partition's vectors at once, and vectors of a partition at once, where components are large.
 QUERIES, VECTORS = 256, 16_384
 
 
@@ -27,23 +25,6 @@ def scaled(vector: Column, scale: int) -> Column:
     return F.when(sound, F.transform(x, lambda v: F.floor(v * scale).cast("long")))
 
 
-class ApproximationFile:
-    """Cell numbers of a block of equally long integer vectors, with bounds of inner products from the cells alone."""
-
-    def __init__(self, vectors: np.ndarray, bits: int = BITS):
-        self.low = vectors.min(0)
-        self.step = np.maximum(-(-(vectors.max(0) - self.low + 1) // (1 << bits)), 1)
-        self.cells = ((vectors - self.low) // self.step).astype(np.uint16)
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The lowest and the highest inner product that each query can have with a vector of each cell."""
-        floor = self.low + self.cells * self.step
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        lowest = _product(queries, floor)
-        spread = self.step - 1
-        return lowest + (down @ spread)[:, None], lowest + (up @ spread)[:, None]
-
-
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact integer inner products of all rows: by floating point while sums stay below 2 ** 53."""
     top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
@@ -56,7 +37,7 @@ def _large(vectors: np.ndarray) -> np.ndarray:
 
 
 def _search_large(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """As ``search_block``, by integers of any size; scores beyond 64 bits are held at their limits."""
+    """(query's row, vec_ids, scores) of the k best of each query, ties to smaller ids, by integers of any size; scores beyond 64 bits are held at their limits."""
     exact = vectors.astype(object)
     for row, query in enumerate(queries.astype(object)):
         scores = np.clip(exact @ query, -(2**63), 2**63 - 1).astype(np.int64)
@@ -66,54 +47,26 @@ def _search_large(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, q
         yield row, ids[mine], scores[mine]
 
 
-def search_all(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query's row, vec_ids, scores) of the k best of each query among usual and among large vectors; a query may come twice."""
-    ways = {False: search_block, True: _search_large}
-    wide, asked = _large(vectors), _large(queries)
-    for large_query in (False, True):
-        rows = np.flatnonzero(asked == large_query)
-        parts = [np.arange(len(ids))] if large_query else [np.flatnonzero(~wide), np.flatnonzero(wide)]
-        for part in (x for x in parts if len(x) and len(rows)):
-            way = ways[large_query or bool(wide[part].any())]
-            for row, found, scores in way(ids[part], vectors[part], query_ids[rows], queries[rows], k):
-                yield int(rows[row]), found, scores
-
-
-def search_block(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query its k best (vec_ids, scores) of the block, ties to smaller ids.
-
-    Cells are scanned first; exact vectors are then read in order of falling upper bounds, in growing steps, until the
-    kth score is above the next bound. A vector whose bound equals it is read still, as it may win the tie.
-    """
-    file = ApproximationFile(vectors)
-    lowest, highest = file.bounds(queries)
-    own = query_ids[:, None] == ids[None, :]
-    lowest[own] = highest[own] = -(2**63)
-    for row in range(len(queries)):
-        mine = np.flatnonzero(~own[row])
-        if len(mine) > k:  # what cannot reach the kth lower bound is out
-            mine = mine[highest[row, mine] >= np.partition(lowest[row, mine], -k)[-k]]
-        mine = mine[np.argsort(-highest[row, mine], kind="stable")]
-        best_ids, best, at, step = np.empty(0, np.int64), np.empty(0, np.int64), 0, max(4 * k, 64)
-        while at < len(mine) and (len(best) < k or best[-1] <= highest[row, mine[at]]):
-            read = mine[at : at + step]
-            best = np.concatenate([best, _product(queries[row : row + 1], vectors[read])[0]])
-            best_ids = np.concatenate([best_ids, ids[read]])
-            order = np.lexsort((best_ids, -best))[:k]
-            best, best_ids, at, step = best[order], best_ids[order], at + step, 2 * step
-        yield row, best_ids, best
-
-
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of each query's ``k`` best of ``vectors``, its own id left out.
 
     Components become floor(scale * x). Vectors that are null or hold a null or non-finite component take no part;
     ids too if null. A query meets vectors of its own length only. Ties go to the smaller id; repeated rows each
-    count. Components and scores beyond 64 bits are held at its limits. The queries are a table in the shared folder that every task reads in blocks, so neither side is
-    collected or joined; a task keeps k rows a query, which are ranked per query then. No vectors or queries: no rows.
+    count. Components and scores beyond 64 bits are held at its limits. Further columns don't matter, whatever their names.
+    No vectors or queries: no rows.
+
+    The search scans a file of cells (``cells``); if any component is so large that bounds might leave 64 bits, all scores
+    are computed instead, by wide integers, in tasks that read the queries in blocks. Neither side is collected or broadcast.
     """
     clean = lambda df: df.select(F.col(id_col).cast("long").alias("vec_id"), scaled(F.col(vector_col), scale).alias("vector")).filter("vec_id is not null and vector is not null")
-    listed = staged(clean(queries), "queries")
+    rows, asked = clean(vectors), clean(queries)
+    most = lambda df: df.agg(F.max(F.size("vector")).alias("n"), F.max(F.array_max(F.transform("vector", lambda x: F.greatest(F.abs(x.cast("double")), F.lit(0.0))))).alias("top")).first()
+    ends = [x for x in (most(rows), most(asked)) if x.n is not None]
+    if len(ends) == 2 and all((x.top or 0) <= math.isqrt(2**60 // max(x.n, 1)) for x in ends):
+        from lakemill.llm.cells import search_cells
+
+        return search_cells(rows, asked, k)
+    listed = staged(asked, "queries")
     files = listed.inputFiles()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,10 +94,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int
             if not len(at):
                 continue
             asked = np.asarray([values[x] for x in at], np.int64).reshape(len(at), n)
-            found = [(np.full(len(x), q_ids[at[row]]), x, s) for row, x, s in search_all(ids, vectors, q_ids[at], asked, k)]
+            found = [(np.full(len(x), q_ids[at[row]]), x, s) for row, x, s in _search_large(ids, vectors, q_ids[at], asked, k)]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 
-    rows = clean(vectors)
     near = rows.mapInArrow(run, "query_id long, vec_id long, score long")
     # each task ranks what it has of a query before it is sent
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
