@@ -66,9 +66,9 @@ def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from lakemill.llm.urls import url_filter
+    from lakemill.llm.urls import labelled_urls, url_filter
 
-    return url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+    return url_filter(table(spark, sf_dir, "pages"), URL_RULES, labelled=labelled_urls(spark))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

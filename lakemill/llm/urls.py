@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakemill.llm.common import let, staged
@@ -83,12 +83,47 @@ def fit_url_trees(labelled: DataFrame, sample: int = SAMPLE, trees: int = 8, dep
     return GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=seed, cacheNodeIds=False).fit(rows)
 
 
+#: Words of the labelled URLs below.
+_PLAIN = "garden river music history school kitchen travel letters museum forest science weather library market island bicycle".split()
+_BAIT = "free win bonus cheap login verify prize casino pills crypto update secure".split()
+_SECTIONS = "news blog articles guide about docs archive events".split()
+_SUFFIXES = "com org net de fr info io co xyz top".split()
+
+
+def labelled_urls(spark: SparkSession, n: int = 4000, seed: int = 8, words: Sequence[str] = _PLAIN) -> DataFrame:
+    """``n`` URLs (url, label) with labels that no rule gave: half ordinary pages, half of the shape of spam and phishing.
+
+    Made by hashes of a row number, so each run gives the same. Both kinds take all suffixes, have paths, numbers and
+    parameters; spam has more digits, hyphens and random strings. A tenth of each kind lacks most of these signs.
+    """
+    draw = lambda k: F.xxhash64("id", F.lit(1000 * seed + k))
+    of = lambda k, values: F.element_at(F.array(*map(F.lit, values)), (F.pmod(draw(k), F.lit(len(values))) + 1).cast("int"))
+    below = lambda k, m: F.pmod(draw(k), F.lit(m)).cast("string")
+    rare = lambda k, m: F.pmod(draw(k), F.lit(m)) == 0
+    noise = lambda k, m: F.substring(F.md5(draw(k).cast("string")), 1, m)
+    some = lambda condition, *parts: F.when(condition, F.concat(*parts)).otherwise("")
+    lit = F.lit
+    plain = F.concat(
+        lit("https://"), some(rare(1, 2), lit("www.")), of(2, words), some(rare(3, 3), lit("-"), of(4, words)), lit("."), of(5, _SUFFIXES), lit("/"), of(6, _SECTIONS),
+        some(rare(7, 3), lit("/20"), below(8, 25), lit("/"), below(9, 12)), lit("/"), of(10, words), lit("-"), of(11, words), some(rare(12, 4), lit(".html")),
+        some(rare(13, 5), lit("?page="), below(14, 40)), some(rare(15, 10), lit("&ref="), noise(16, 6)),
+    )
+    open_ = ~rare(20, 10)
+    spam = F.concat(
+        lit("http://"), of(2, words), some(open_, lit("-"), of(21, _BAIT), below(22, 900)), some(rare(23, 2), lit("."), noise(24, 6)), lit("."), of(5, _SUFFIXES), lit("/"),
+        some(open_, noise(25, 12), lit("/")), of(26, _BAIT), some(rare(27, 2), lit(".php")), lit("?id="), noise(28, 10), some(open_, lit("&sid="), noise(29, 12), lit("&u="), below(30, 99999)),
+    )
+    rows = spark.range(n).withColumn("label", (F.col("id") % 2).cast("int"))
+    return rows.select(F.when(F.col("label") == 1, spam).otherwise(plain).alias("url"), "label")
+
+
 def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", labelled: DataFrame | None = None, limit: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict and score (the trees' probability of block) of every URL.
 
     The longest fitting rule decides. Other URLs are judged by trees fitted on ``labelled`` (url, label 1 = block);
     without it, on the URLs that rules decide, by their verdicts. Null ids stay, a null URL is empty; with no or only
-    one label known, all others get that one (allow without any). Repeated rows are judged alike.
+    one label known, all others get that one (allow without any). Repeated rows are judged alike, very long URLs whole;
+    an empty table gives no rows; further columns don't matter, whatever their names.
     """
     verdicts = F.create_map(*(F.lit(x) for rule in rules for x in rule)) if rules else F.lit(None).cast("map<string,string>")
     split = lambda df: df.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit(""))).withColumn("path", F.coalesce(path_of(F.col("url")), F.lit("")))
