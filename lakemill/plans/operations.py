@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lakemill.functions.keys import name_uuid
 from lakemill.functions.text import clean_text
-from lakemill.operators import joins
+from lakemill.operators import bridges, joins
 from lakemill.plans.proxy import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,6 +161,14 @@ def id_lists(spark, sf_dir):
     return rows.select("n_nationkey", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.size("ids").cast("long").alias("n"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ";").alias("joined"), F.coalesce(letters[F.col("n_regionkey")], F.lit("other")).alias("letter"))
 
 
+@query("""select distinct c_custkey, n_name from (select c_custkey, unnest([c_nationkey, (c_nationkey + 7) % 25, 99]) as id from customer) join nation on n_nationkey = id""")
+def bridge_from_id_lists(spark, sf_dir):
+    """Customers' lists of nations, kept as text, to their names; one id of each list is unknown."""
+    nation = F.col("c_nationkey")
+    kept = table(spark, sf_dir, "customer").select("c_custkey", bridges.list_text(F.array(nation.cast("int"), ((nation + 7) % 25).cast("int"), F.lit(99))).alias("ids"))
+    return bridges.bridge(kept, "c_custkey", bridges.ids_of(F.col("ids")), table(spark, sf_dir, "nation"), "n_nationkey", "n_name")
+
+
 @query("select r_regionkey, '{\"r_regionkey\":' || r_regionkey || ',\"r_name\":\"' || r_name || '\"}' as packed from region")
 def packed_rows(spark, sf_dir):
     return table(spark, sf_dir, "region").select("r_regionkey", F.struct("r_regionkey", "r_name").alias("row")).select("r_regionkey", F.to_json("row").alias("packed"))

@@ -83,9 +83,38 @@ def copy_tables(tables: dict[str, LakeTable], folder: str, spark: SparkSession)
 
 
 def catalog_tables(spark: SparkSession, database: str = "default") -> DataFrame:
-    """name, type and temporariness of a database's tables and views."""
-    rows = [(x.name, x.tableType, x.isTemporary) for x in spark.catalog.listTables(database)]
-    return spark.createDataFrame(rows, "name string, kind string, temporary boolean")
+    """name, type, temporariness and, of kept views, the definition of a database's tables and views."""
+
+    def definition(x) -> str | None:
+        return None if x.isTemporary or x.tableType != "VIEW" else spark.sql(f"show create table `{database}`.`{x.name}`").first()[0]
+
+    rows = [(x.name, x.tableType, x.isTemporary, definition(x)) for x in spark.catalog.listTables(database)]
+    return spark.createDataFrame(rows, "name string, kind string, temporary boolean, definition string")
+
+
+def export_csv(df: DataFrame, path: str) -> str:
+    """Writes a report as one CSV file with a header, for results that one task may hold; the file's path."""
+    spark = df.sparkSession
+    aside = f"{path}.parts"
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(aside)
+    folder, place = spark._jvm.org.apache.hadoop.fs.Path(aside), spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    part = next(x.getPath() for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-"))
+    fs.delete(place, False)
+    fs.rename(part, place)
+    fs.delete(folder, True)
+    return path
+
+
+def from_pandas(spark: SparkSession, frame, schema: str | None = None) -> DataFrame:
+    """Small control data from pandas."""
+    return spark.createDataFrame(frame, schema)
+
+
+def linked_table(spark: SparkSession, name: str, path: str, kind: str = "parquet") -> DataFrame:
+    """A table whose files stay where another place keeps them: dropping it leaves them alone."""
+    spark.sql(f"create table if not exists {name} using {kind} location '{path}'")
+    return spark.table(name)
 
 
 def change_summary(changes: DataFrame) -> DataFrame:

@@ -73,6 +73,22 @@ def test_files_and_views(spark, tmp_path):
     assert T.copy_tables({"t": t}, str(tmp_path / "copy"), spark) == {"t": 0} and LakeTable(spark, str(tmp_path / "copy/t")).read().count() == 4
 
 
+def test_reports_links_and_definitions(spark, tmp_path):
+    import pandas as pd
+
+    path = T.export_csv(spark.createDataFrame([(1, "a,b"), (2, None)], "n int, t string").orderBy("n"), str(tmp_path / "report.csv"))
+    assert open(path).read() == 'n,t\n1,"a,b"\n2,\n' and not (tmp_path / "report.csv.parts").exists()
+    assert T.from_pandas(spark, pd.DataFrame({"n": [1, 2]})).agg(F.sum("n")).first()[0] == 3
+    spark.range(4).write.parquet(str(tmp_path / "kept"))
+    assert T.linked_table(spark, "linked_rows", str(tmp_path / "kept")).count() == 4
+    spark.sql("create or replace view defined_rows as select id from linked_rows where id > 1")
+    found = {x["name"]: x for x in T.catalog_tables(spark).collect()}
+    assert "id > 1" in found["defined_rows"]["definition"] and found["linked_rows"]["definition"] is None
+    spark.sql("drop view defined_rows")
+    spark.sql("drop table linked_rows")
+    assert spark.read.parquet(str(tmp_path / "kept")).count() == 4
+
+
 def test_paged_sources(spark):
     def fetch(start, size):
         return 200, [{"id": i, "name": f"n{i}"} for i in range(start, min(start + size, 23))]
