@@ -4,7 +4,8 @@ Any string of ``length`` bytes has an anchor: of its 48-byte windows the one of
 ones). Equal strings have equal anchors at equal offsets, so only suffixes of one anchor need to be merged:
 
 1. every text's anchors, each with the starts that it is the anchor of, a narrow row each;
-2. anchors that occur once are dropped; occurrences with the same text around them are one shard;
+2. anchors that occur once are dropped; occurrences with the same text around them, told apart by two 64-bit hashes,
+   are one shard;
 3. the shards' suffixes at those starts are interleaved anchor by anchor: each round refines the interleave by the
    next 8 bytes, only in blocks that still hold suffixes of two starts, until ``length`` bytes are equal. A round's
    number bounds the common prefixes of the blocks that it splits; what is left are the repeated intervals;
