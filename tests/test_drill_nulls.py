@@ -42,3 +42,8 @@ def same(spark, unscored, name):
 @pytest.mark.parametrize("name", ["alignment_negative_listed", "alignment_positive_listed"])
 def test_listed_games_have_an_alignment(spark, unscored, name):
     same(spark, unscored, name)
+
+
+@pytest.mark.parametrize("name", ["misaligned_reviews", "aligned_reviews"])
+def test_reviews_are_of_games_with_an_alignment(spark, unscored, name):
+    same(spark, unscored, name)
