@@ -109,8 +109,8 @@ def score(text: str, lexicon: Mapping[str, float] = LEXICON) -> tuple[float, flo
     return _round(positive / everything, 3), _round(total / math.sqrt(total * total + MANY), 4), _round(neutral / everything, 3), _round(-negative / everything, 3)
 
 
-#: Words that a lexicon may have, as it is broadcast; and words that meet in one of its maps, as maps are searched in turn.
-MOST, TOGETHER = 200_000, 8
+#: Words that a lexicon may have, as it is broadcast; and maps that it is dealt to for each word, so that most hold one at most.
+MOST, SHELVES = 200_000, 2
 
 
 class LexiconTooLarge(ValueError):
@@ -123,50 +123,52 @@ def lexicon_table(spark: SparkSession, words: Mapping[str, float] | None = None)
 
 
 def _shelves(lexicon: DataFrame, most: int) -> tuple[DataFrame, int]:
-    """One row: an array of maps, a word's place told by its hash. A word given twice has its least valence."""
+    """One row: an array of maps, a word's place told by its hash, NULL where there is none. A word given twice has its least valence; boosters and words of no valence count as others."""
     once = lexicon.filter("word is not null and valence is not null").groupBy("word").agg(F.min(F.col("valence").cast("double")).alias("valence"))
     n = once.count()
     if n > most:
         raise LexiconTooLarge(f"{n} words; {most} may be broadcast")
-    shelves = max(1, -(-n // TOGETHER))
-    maps = once.groupBy(F.pmod(F.xxhash64("word"), F.lit(shelves)).cast("int").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("word", "valence"))).alias("m"))
+    shelves = max(1, SHELVES * n)
+    valued = once.filter((F.col("valence") != 0) & ~F.col("word").isin(*BOOSTERS))
+    maps = valued.groupBy(F.pmod(F.xxhash64("word"), F.lit(shelves)).cast("int").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("word", "valence"))).alias("m"))
     every = lexicon.sparkSession.range(shelves).select(F.col("id").cast("int").alias("k")).join(maps, "k", "left")
-    empty = F.create_map().cast("map<string,double>")
-    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", F.map_entries(F.coalesce("m", empty)).alias("e")))), lambda x: F.map_from_entries(x["e"])).alias("__lexicon")), shelves
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", F.map_entries("m").alias("e")))), lambda x: F.map_from_entries(x["e"])).alias("__lexicon")), shelves
 
 
 def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _scored(text: Column, shelves: int) -> Column:
+def _scored(text: Column, lexicon: Column, shelves: int) -> Column:
     boosters = F.create_map(*(F.lit(x) for pair in BOOSTERS.items() for x in pair))
     negations = F.array(*(F.lit(x) for x in sorted(NEGATIONS)))
     upper = lambda x: (F.upper(x) == x) & (F.lower(x) != x)
     sign = lambda v: F.when(v < 0, -1.0).otherwise(1.0)
     zero = F.lit(0.0)
 
-    def valence(word: Column) -> Column:
-        shelf = F.get(F.col("__lexicon"), F.pmod(F.xxhash64(word), F.lit(shelves)).cast("int"))
-        return F.when(F.try_element_at(boosters, word).isNotNull(), zero).otherwise(F.coalesce(F.try_element_at(shelf, word), zero))
-
-    def value(tokens: Column, low: Column, caps: Column, word: Column, i: Column) -> Column:
-        def rules(v: Column) -> Column:
-            raised = v + F.when(caps & upper(F.get(tokens, i)), sign(v) * CAPS).otherwise(zero)
-            for back, fade in enumerate(FADING, 1):
-                raised = raised + sign(v) * F.coalesce(F.try_element_at(boosters, F.get(low, i - back)), zero) * fade
-            before = [F.coalesce(F.array_contains(negations, F.get(low, i - back)), F.lit(False)) for back in (1, 2, 3)]
-            return F.when(v == 0, zero).otherwise(raised * F.when(before[0] | before[1] | before[2], NEGATED).otherwise(1.0))
-
-        return _let(valence(word), rules)
-
-    def values(tokens: Column) -> Column:
-        low = F.transform(tokens, lambda x: F.replace(F.lower(x), F.lit("'"), F.lit("")))
-        caps = F.exists(tokens, upper) & ~F.forall(tokens, upper)
-        own = lambda w: F.transform(w["low"], lambda x, i: value(tokens, w["low"], w["caps"], x, i))
-        turn = lambda w: F.array_position(w["low"], "but").cast("int") - 1
-        side = lambda v, i, t: v * F.when((t < 0) | (i == t), 1.0).when(i < t, 0.5).otherwise(1.5)
-        return _let(F.struct(low.alias("low"), caps.alias("caps")), lambda w: F.transform(own(w), lambda v, i: side(v, i, turn(w))))
+    # what is done for each word is little: one look into the lexicon. All rules are for the words found in it.
+    def valences(low: Column) -> Column:
+        return F.transform(low, lambda x: F.try_element_at(F.get(lexicon, F.pmod(F.xxhash64(x), F.lit(shelves)).cast("int")), x))
+
+    def value(w: Column, v: Column, i: Column) -> Column:
+        raised = v + F.when(w["caps"] & upper(F.get(w["tokens"], i)), sign(v) * CAPS).otherwise(zero)
+        for back, fade in enumerate(FADING, 1):
+            raised = raised + sign(v) * F.coalesce(F.try_element_at(boosters, F.get(w["low"], i - back)), zero) * fade
+        before = [F.coalesce(F.array_contains(negations, F.get(w["low"], i - back)), F.lit(False)) for back in (1, 2, 3)]
+        side = F.when((w["turn"] < 0) | (i == w["turn"]), 1.0).when(i < w["turn"], 0.5).otherwise(1.5)
+        return raised * F.when(before[0] | before[1] | before[2], NEGATED).otherwise(1.0) * side
+
+    def values(w: Column) -> Column:
+        """Those of the words found, in order, and how many words there are."""
+        at = F.filter(F.transform(valences(w["low"]), lambda v, i: F.when(v.isNotNull(), F.struct(v.alias("v"), i.alias("i")))), lambda x: x.isNotNull())
+        return F.struct(F.transform(at, lambda x: value(w, x["v"], x["i"])).alias("v"), F.size(w["tokens"]).alias("n"))
+
+    def parts(tokens: Column) -> Column:
+        # lowered all at once: a line feed is in no token
+        lowered = F.split(F.replace(F.lower(F.array_join(tokens, "\n")), F.lit("'"), F.lit("")), "\n")
+        low = F.when(F.size(tokens) > 0, lowered).otherwise(F.array().cast("array<string>"))
+        # a word in capitals stands out beside any that is not
+        return _let(F.struct(tokens.alias("tokens"), low.alias("low"), F.exists(tokens, lambda x: ~upper(x)).alias("caps")), lambda w: F.struct(w["tokens"].alias("tokens"), w["low"].alias("low"), w["caps"].alias("caps"), (F.array_position(w["low"], "but").cast("int") - 1).alias("turn")))
 
     count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
     asks = count("?")
@@ -178,18 +180,19 @@ def _scored(text: Column, shelves: int) -> Column:
         total = add(vs, lambda v: v)
         total = total + F.when(total == 0, zero).otherwise(sign(total) * more)
         up, down = add(vs, lambda v: F.when(v > 0, v + 1).otherwise(zero)), add(vs, lambda v: F.when(v < 0, v - 1).otherwise(zero))
-        neutral = F.size(F.filter(vs, lambda v: v == 0)).cast("double")
-        sums = F.struct(total.alias("t"), (up + F.when(up > F.abs(down), more).otherwise(zero)).alias("p"), (down - F.when(up < F.abs(down), more).otherwise(zero)).alias("n"), neutral.alias("z"))
+        neutral = (w["n"] - F.size(F.filter(vs, lambda v: v != 0))).cast("double")
+        sums = F.struct(total.alias("t"), up.alias("up"), down.alias("down"), neutral.alias("z"), more.alias("e"))
+        leaning = lambda x: F.struct(x["t"].alias("t"), (x["up"] + F.when(x["up"] > F.abs(x["down"]), x["e"]).otherwise(zero)).alias("p"), (x["down"] - F.when(x["up"] < F.abs(x["down"]), x["e"]).otherwise(zero)).alias("n"), x["z"].alias("z"))
 
         def shares(x: Column) -> Column:
             whole = F.nullif(x["p"] - x["n"] + x["z"], zero)
             part = lambda y: F.coalesce(F.round(y / whole, 3), zero)
             return F.struct(part(x["p"]).alias("positive"), F.when(whole.isNull(), zero).otherwise(F.round(x["t"] / F.sqrt(x["t"] * x["t"] + MANY), 4)).alias("compound"), part(x["z"]).alias("neutral"), part(-x["n"]).alias("negative"))
 
-        return _let(sums, shares)
+        return _let(_let(sums, leaning), shares)
 
     tokens = F.regexp_extract_all(text, F.lit(r"(?U)[\w']+"), F.lit(0))
-    found = _let(F.struct(_let(tokens, values).alias("v"), emphasis.alias("e")), told)
+    found = _let(_let(_let(tokens, parts), values), lambda w: _let(F.struct(w["v"].alias("v"), w["n"].alias("n"), emphasis.alias("e")), told))
     return F.when(text.isNotNull(), found)
 
 
@@ -199,4 +202,4 @@ def with_sentiment(rows: DataFrame, text: Column, lexicon: DataFrame | None = No
     ``lexicon``: word (lower case, no apostrophes) and valence, ours if none is given; more than ``most`` words raise.
     """
     one, shelves = _shelves(lexicon_table(rows.sparkSession) if lexicon is None else lexicon, most)
-    return rows.crossJoin(F.broadcast(one)).withColumn(name, _scored(text, shelves)).drop("__lexicon")  # one row of checked size
+    return rows.crossJoin(F.broadcast(one)).withColumn(name, _scored(text, F.col("__lexicon"), shelves)).drop("__lexicon")  # one row of checked size
