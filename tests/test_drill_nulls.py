@@ -47,3 +47,27 @@ def test_listed_games_have_an_alignment(spark, unscored, name):
 @pytest.mark.parametrize("name", ["misaligned_reviews", "aligned_reviews"])
 def test_reviews_are_of_games_with_an_alignment(spark, unscored, name):
     same(spark, unscored, name)
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """Every review three times under shifted order keys, so influences tie; games without an alignment pass the limit of reviews by their copies alone."""
+    folder = str(tmp_path_factory.mktemp("repeated"))
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").filter("l_partkey % 7 <> 0 or l_linenumber <= 3")
+    rows = rows.withColumn("l_returnflag", F.when(F.col("l_partkey") % 7 == 0, "N").otherwise(F.col("l_returnflag")))
+    rows.crossJoin(spark.range(3)).withColumn("l_orderkey", F.col("l_orderkey") + 150000 * F.col("id")).drop("id").write.parquet(f"{folder}/lineitem.parquet")
+    spark.read.parquet(f"{SF}/part.parquet").write.parquet(f"{folder}/part.parquet")
+    con = duckdb.connect()
+    for name in ("part", "lineitem"):
+        con.execute(f"create view {name} as select * from '{folder}/{name}.parquet/*.parquet'")
+    for name in ("events", "customer"):
+        con.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
+    return folder, con
+
+
+@pytest.mark.parametrize("name", ["misaligned_reviews", "aligned_reviews"])
+def test_repeated_reviews(spark, repeated, name):
+    folder, con = repeated
+    most = con.execute("select max(n) from (select count(*) as n from lineitem where l_partkey % 7 = 0 group by l_partkey)").fetchone()[0]
+    assert 25 <= most < 3 * 25  # ranked by their copies alone
+    same(spark, repeated, name)
